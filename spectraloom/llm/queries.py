@@ -5,16 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectraloom.llm.bpe import encode_texts
+from spectraloom.llm.canonical import ClassMatcher, InstrumentMatcher, NameMatcher, match_values, reference_rows
+from spectraloom.llm.mixing import mix, shares
 from spectraloom.llm.splits import assign_splits, related_groups
 from spectraloom.llm.survivors import measurement_groups, survivors
-from spectraloom.session import table
+from spectraloom.session import cut, table
 
 IDS = ["connectivity_id", "split_group_id"]
+SURVIVING = [
+    "spectrum_id", "source", "source_release", "license", "record_title", "name", "lipid_class", "display_name", "polarity", "adduct_qc_only", "charge", "precursor_mz",
+    "collision_energy_qc_only", "instrument", "instrument_type_qc_only", "formula", "exact_mass", "smiles", "inchikey", "structure_record_id", "chain_linkage_summary", "peaks_raw", "contributor_id", "acquired_on",
+]
+
+
+def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_groups(table(spark, sf_dir, "gold_spectra"), "gold_id", IDS)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in a set of related rows that holds at least two different ids."""
-    return related_groups(table(spark, sf_dir, "gold_spectra"), "gold_id", IDS).where("n_ids >= 2").select("gold_id", "group_id")
+    return _related(spark, sf_dir).where("n_ids >= 2").select("gold_id", "group_id")
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gold spectrum with its split and stratum: the pilot's lipid class (canonical) and polarity."""
+    groups = _related(spark, sf_dir)
+    pilot = table(spark, sf_dir, "experimental_ms2_pilot", "row_id", "lipid_class", "polarity")
+    classes = _matched(spark, sf_dir, ["lipid_class"]).select("row_id", F.col("ref_id").alias("class_id"))
+    sign = F.lower(F.trim("polarity"))
+    polarity = F.when(sign.rlike(r"^(p|\+|1)"), "positive").when(sign.rlike(r"^(n|-|−)"), "negative").otherwise("unknown")
+    strata = pilot.select("row_id", polarity.alias("stratum_polarity")).join(classes, "row_id", "left")
+    rows = table(spark, sf_dir, "gold_spectra", "gold_id", "row_id").join(groups, "gold_id").join(strata, "row_id", "left")
+    rows = cut(rows.select("gold_id", "group_id", F.coalesce("class_id", F.lit(0)).alias("class_id"), F.coalesce("stratum_polarity", F.lit("unknown")).alias("stratum_polarity")))
+    assigned = assign_splits(rows, "gold_id", "group_id", ["class_id", "stratum_polarity"])
+    return rows.join(assigned.select("gold_id", "split"), "gold_id")
+
+
+def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each split by class and polarity."""
+    return p2_splits(spark, sf_dir).groupBy("class_id", "stratum_polarity", "split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group_id").alias("n_groups"))
 
 
 def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +58,66 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "group").where("row_id_a < row_id_b").select("row_id_a", "row_id_b")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per measurement."""
+    pilot = table(spark, sf_dir, "experimental_ms2_pilot")
+    return survivors(pilot.join(_measurements(spark, sf_dir), "row_id"), "group", SURVIVING).withColumnRenamed("group", "measurement_id")
+
+
+def _matched(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
+    lists = {
+        "name": (NameMatcher, reference_rows(table(spark, sf_dir, "compound_reference"), "ref_id", "name", "abbreviation", "synonyms")),
+        "lipid_class": (ClassMatcher, reference_rows(table(spark, sf_dir, "lipid_classes"), "class_id", "lipid_class", "class_name", "synonyms")),
+        "instrument": (InstrumentMatcher, reference_rows(table(spark, sf_dir, "instruments"), "instrument_id", "instrument", "maker")),
+    }
+    chosen = {f: lists[f] for f in fields}
+    exact = {f: {r[1]: r[0] for r in rows} for f, (_, rows) in chosen.items()}
+    return match_values(table(spark, sf_dir, "experimental_ms2_pilot"), "row_id", chosen, exact)
+
+
+FIELDS = ["name", "lipid_class", "instrument"]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values that aren't an entry character for character, and the entry they stand for."""
+    lists = table(spark, sf_dir, "compound_reference").select(F.lit("name").alias("field"), F.col("name").alias("typed"))
+    lists = lists.unionByName(table(spark, sf_dir, "lipid_classes").select(F.lit("lipid_class").alias("field"), F.col("lipid_class").alias("typed")))
+    lists = lists.unionByName(table(spark, sf_dir, "instruments").select(F.lit("instrument").alias("field"), F.col("instrument").alias("typed")))
+    return _matched(spark, sf_dir, FIELDS).join(lists, ["field", "typed"], "left_anti").select("row_id", "field", "ref_id")
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that stand for no single entry, with how often they were typed and how many entries come equally near."""
+    return _matched(spark, sf_dir, FIELDS).where("ref_id = 0").groupBy("field", "typed").agg(F.count(F.lit(1)).alias("n_rows"), F.max("ties").alias("ties"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by byte_bpe_50k."""
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", counts_only=True, keep=("source", "lang")))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of each plan at the greatest size that leaves no source short: documents with how often each is used."""
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), policy="exact")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that p7_mix reaches."""
+    return shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_epoch_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached at the size of one epoch of the plan's documents, where small sources fall short."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return shares(mix(_sized(spark, sf_dir), targets), targets)
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_epoch_shares": p7_epoch_shares,
+}
 SQL: dict[str, str] = {}
