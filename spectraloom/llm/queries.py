@@ -9,6 +9,7 @@ from spectraloom.llm.bpe import encode_texts
 from spectraloom.llm.canonical import ClassMatcher, InstrumentMatcher, NameMatcher, match_values, reference_rows
 from spectraloom.llm.mixing import mix, shares
 from spectraloom.llm.splits import assign_splits, related_groups
+from spectraloom.llm.subjects import score_documents, train
 from spectraloom.llm.survivors import measurement_groups, survivors
 from spectraloom.session import cut, table
 
@@ -116,8 +117,25 @@ def p7_epoch_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mix(_sized(spark, sf_dir), targets), targets)
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    subjects = sorted(r[0] for r in reference_rows(table(spark, sf_dir, "subject_areas"), "subject_id", most=1000))
+    return score_documents(documents, train(documents, table(spark, sf_dir, "subject_labels"), subjects))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas that at least a fifth of a document's sentences treat."""
+    return _scored(spark, sf_dir).where("subject_id is not null and n_treating * 5 >= n_sentences").select("doc_id", "subject_id")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents that treat it and sentences about it; the null subject has the documents about nothing."""
+    treats = F.col("subject_id").isNull() | (F.col("n_treating") * 5 >= F.col("n_sentences"))
+    return _scored(spark, sf_dir).groupBy("subject_id").agg(F.count_if(treats).alias("n_documents"), F.sum("n_treating").cast("bigint").alias("n_sentences"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
-    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_epoch_shares": p7_epoch_shares,
+    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_epoch_shares": p7_epoch_shares, "p8_found": p8_found, "p8_composition": p8_composition,
 }
 SQL: dict[str, str] = {}
