@@ -35,7 +35,7 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "`": "`"}
 GAPS = {"", "-", "–", "—", "nan", "na", "n/a", "null", "none", "nd", "n.d.", "?", ".", "inf", "-inf", "+inf", "infinity"}
 
 _NUMBER = re.compile(r"[-+−]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][-+−]?\d+)?")
-_SEP = re.compile(r"[  ]*(\r\n|[,;|\t\r\n])[  ]*|[  ]+")
+_SEP = re.compile(r"[ \u00a0]*(\r\n|[,;|\t\r\n])[ \u00a0]*|[ \u00a0]+")
 _PAIR_ROWS = re.compile(r"\r\n|\r|\n")
 
 
@@ -62,7 +62,7 @@ class _Parser:
 
     # field <- open field close / quoted field / body
     def unwrap(self, text: str) -> str:
-        text = text.strip(" \t\r  ﻿​").strip("\n") if "\n" in text else text.strip("  ﻿​").strip(" ")
+        text = text.strip(" \u00a0\ufeff\u200b").rstrip("\r\n")  # a separator in front has an empty slot before it
         if text and text[0] in OPEN:
             want = CLOSE[OPEN.index(text[0])]
             depth, at = 0, 0
@@ -149,7 +149,7 @@ class _Parser:
         return [[self._slot(v, f, comma) for v, f in self.slots(text, sep)]], False
 
     def _slot(self, text: str, flags: set[str], comma: bool) -> tuple[float | None, str, set[str]]:
-        clean = text.strip(" \t\r\n  ﻿​")
+        clean = text.strip(" \t\r\n\u00a0\ufeff\u200b")
         for q, c in QUOTES.items():
             if len(clean) > 1 and clean[0] == q and clean[-1] == c:
                 clean = clean[1:-1].strip()
@@ -238,7 +238,7 @@ class _Parser:
                 comma = re.search(r",\s", outside) is None
         if not comma:
             return _SEP, False
-        return re.compile(r"[  ]*([;|\t\n])[  ]*|,(?=[  ]|$|(?<=[\"'],)[\"'])[  ]*|[  ]+") if not quoted else _SEP, True
+        return re.compile(r"[ \u00a0]*([;|\t\n])[ \u00a0]*|,(?=[ \u00a0]|$|(?<=[\"'],)[\"'])[ \u00a0]*|[ \u00a0]+") if not quoted else _SEP, True
 
 
 def parse_packed(text: str | None, alone: bool = True) -> tuple[list[list[tuple[float | None, str, set[str]]]], bool, set[str]]:
