@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.arrow import map_columns
+
 OPEN, CLOSE = "[{(<", "]})>"
 QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "`": "`"}
 #: Spellings of a slot without a number.
@@ -264,18 +264,18 @@ def explode_packed(df: DataFrame, key: str, first: str, second: str) -> DataFram
     ``pos`` counts from 1 within the quantity of a row. No shuffle: rows are parsed where they are read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = {k: [] for k in ("row_key", "source_column", "field", "pos", "value", "raw", "error")}
-            for k, a, b in zip(batch["k"], batch["a"], batch["b"]):
-                count = {first: 0, second: 0}
-                for column, text, partner in ((first, a, b), (second, b, a)):
-                    columns, pairs, flags = parse_packed(text, alone=partner is None or not partner.strip())
-                    for field, slots in zip((first, second) if pairs else (column,), columns):
-                        for value, raw, errors in slots:
-                            count[field] += 1
-                            for name, x in zip(out, (k, column, field, count[field], value, raw, ",".join(sorted(errors | flags)) or None)):
-                                out[name].append(x)
-            yield pd.DataFrame(out).astype({"pos": "int32"})
-
-    return df.select(F.col(key).cast("bigint").alias("k"), F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b")).mapInPandas(run, SCHEMA)
+    def parse(columns: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in ("row_key", "source_column", "field", "pos", "value", "raw", "error")}
+        for k, a, b in zip(columns["k"], columns["a"], columns["b"]):
+            count = {first: 0, second: 0}
+            for column, text, partner in ((first, a, b), (second, b, a)):
+                fields, pairs, flags = parse_packed(text, alone=partner is None or not partner.strip())
+                for name, slots in zip((first, second) if pairs else (column,), fields):
+                    for value, raw, errors in slots:
+                        count[name] += 1
+                        for key_, x in zip(out, (k, column, name, count[name], value, raw, ",".join(sorted(errors | flags)) or None)):
+                            out[key_].append(x)
+        return out
+
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b"))
+    return map_columns(rows, lambda: parse, SCHEMA)

@@ -44,7 +44,7 @@ def histograms(df: DataFrame, columns: Sequence[str], order: str = "_ord", missi
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(truthy(F.col(c).cast("string")), F.lit(missing)).alias("value")) for c in columns])
     counts = df.select(F.explode(pairs).alias("p"), F.col(order).alias("at")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    return counts.select("field", "value", "n", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "at")).alias("rank"))
+    return counts.select("field", "value", "n", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "at")).cast("bigint").alias("rank"))
 
 
 def distinct_first(df: DataFrame, *columns: str) -> DataFrame:

@@ -502,10 +502,10 @@ fr AS (SELECT row_id, precursor_mz, q.mz AS mz, sqrt(q.v / top) AS v, q.i AS i,
 fs AS (SELECT row_id, mz / 1000.0::DOUBLE AS mz, v, (precursor_mz - mz) / 1000.0::DOUBLE AS delta, row_number() OVER (PARTITION BY row_id ORDER BY mz, v, i) - 1 AS slot FROM fr WHERE rk <= 20)"""
 
 
-@query(f"WITH {_FEATURES} SELECT row_id, CAST(slot AS INTEGER) AS slot, round(mz, 6) AS mz, round(v, 6) AS intensity, round(delta, 6) + 0.0::DOUBLE AS delta FROM fs")
+@query(f"WITH {_FEATURES} SELECT row_id, CAST(slot AS INTEGER) AS slot, round(mz, 9) AS mz, round(v, 6) AS intensity, round(delta, 9) + 0.0::DOUBLE AS delta FROM fs")
 def peak_features(spark, sf_dir):
     rows = _pilot(spark, sf_dir).select("row_id", p.peak_features(F.col("peaks_raw"), F.col("precursor_mz"), most=20).alias("f"))
-    return rows.select("row_id", F.posexplode("f").alias("slot", "x")).select("row_id", "slot", F.round("x.mz", 6).alias("mz"), F.round("x.intensity", 6).alias("intensity"), (F.round("x.delta", 6) + F.lit(0.0)).alias("delta"))
+    return rows.select("row_id", F.posexplode("f").alias("slot", "x")).select("row_id", "slot", F.round("x.mz", 9).alias("mz"), F.round("x.intensity", 6).alias("intensity"), (F.round("x.delta", 9) + F.lit(0.0)).alias("delta"))
 
 
 @query(f"WITH {_FEATURES}, c AS (SELECT row_id, count(*) AS c FROM fs GROUP BY 1) SELECT row_id, CAST(i AS INTEGER) AS slot, i >= coalesce(c, 0) AS masked FROM experimental_ms2_pilot LEFT JOIN c USING (row_id), (SELECT unnest(range(0, 20)) AS i)")
