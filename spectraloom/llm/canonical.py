@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.arrow import map_columns
+
 #: Distinct values a Python worker remembers; a forgotten value is searched again, so no result depends on it.
 REMEMBERED = 200_000
 
@@ -305,18 +306,22 @@ def match_values(df: DataFrame, key: str, matchers: dict[str, tuple[type[Matcher
     """
     fields = list(matchers)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         built = {f: cls(rows) for f, (cls, rows) in matchers.items()}
-        for batch in batches:
-            parts = []
+
+        def step(columns: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {c: [] for c in ("row_id", "field", "typed", "ref_id", "distance", "ties")}
             for f in fields:
-                part = batch.loc[batch[f].notna(), ["k", f]]
-                values = {v: (exact[f][v], 0, 1) if v in exact[f] else built[f].lookup(v) for v in part[f].unique()}
-                got = [values[v] for v in part[f]]
-                parts.append(pd.DataFrame({"row_id": part["k"].to_numpy(), "field": f, "typed": part[f].to_numpy(), "ref_id": [g[0] for g in got], "distance": [g[1] for g in got], "ties": [g[2] for g in got]}))
-            yield pd.concat(parts, ignore_index=True).astype({"row_id": "int64", "ref_id": "int32", "distance": "int32", "ties": "int32"})
+                for k, value in zip(columns["k"], columns[f]):
+                    if value is not None:
+                        found = (exact[f][value], 0, 1) if value in exact[f] else built[f].lookup(value)
+                        for c, x in zip(out, (k, f, value, *found)):
+                            out[c].append(x)
+            return out
+
+        return step
 
-    return df.select(F.col(key).cast("bigint").alias("k"), *[F.col(f).cast("string").alias(f) for f in fields]).mapInPandas(run, SCHEMA)
+    return map_columns(df.select(F.col(key).cast("bigint").alias("k"), *[F.col(f).cast("string").alias(f) for f in fields]), make, SCHEMA)
 
 
 def reference_rows(df: DataFrame, *columns: str, most: int = 100_000) -> list[tuple]:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.arrow import map_columns
 from spectraloom.session import cut
 
 #: Model size: hashed units x dimensions. These bound what is broadcast and sent each round (4 MB).
@@ -49,7 +50,7 @@ def sentences(text: str | None) -> list[str]:
     """
     if not text or not text.strip():
         return []
-    lines = [x.strip("  \t​﻿") for x in _LINE.split(text)]
+    lines = [x.strip(" \u00a0\t\u200b\ufeff") for x in _LINE.split(text)]
     for i, line in enumerate(lines):
         # a signature block: the rest is short and follows the text
         if line in ("--", "---", "__") and i and sum(1 for x in lines[i + 1 :] if x) <= 4:
@@ -292,20 +293,22 @@ def score_documents(documents: DataFrame, model: Model, *, sure: float = SURE) -
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = shared.value.word_scores()
-        subjects = shared.value.subjects
-        for batch in batches:
-            out = []
-            split = [sentences(t) for t in batch["text"]]
+    def make():
+        scores, subjects = shared.value.word_scores(), shared.value.subjects
+
+        def step(columns: dict[str, list]) -> dict[str, list]:
+            rows = []
+            split = [sentences(t) for t in columns["text"]]
             found = sentence_subjects(scores, [s for ss in split for s in ss], sure)
             at = 0
-            for doc, ss in zip(batch["doc_id"], split):
+            for doc, ss in zip(columns["doc_id"], split):
                 own = found[at : at + len(ss)]
                 at += len(ss)
                 hits = np.unique(own[own >= 0], return_counts=True)
-                out += [(doc, subjects[k], int(n), len(ss)) for k, n in zip(*hits)] or [(doc, None, 0, len(ss))]
-            frame = pd.DataFrame(out, columns=["doc_id", "subject_id", "n_treating", "n_sentences"])
-            yield frame.astype({"doc_id": "int64", "subject_id": "Int32", "n_treating": "int32", "n_sentences": "int32"})
+                rows += [(doc, subjects[k], int(n), len(ss)) for k, n in zip(*hits)] or [(doc, None, 0, len(ss))]
+            return {name: [r[i] for r in rows] for i, name in enumerate(("doc_id", "subject_id", "n_treating", "n_sentences"))}
+
+        return step
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id bigint, subject_id int, n_treating int, n_sentences int")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_columns(rows, make, "doc_id bigint, subject_id int, n_treating int, n_sentences int")

@@ -98,7 +98,7 @@ def survivors(df: DataFrame, group: str, fields: Sequence[str], *, source: str =
 
     def filled(c: str) -> Column:
         if types[c] == "string":
-            blank = F.lower(F.regexp_replace(F.col(c), r"^[\s ​]+|[\s ​]+$", "")).isin("", "-", "?", "n/a", "na", "n.d.", "none", "null", "unknown", "not recorded", "not given", "see title", "see methods", "tbd")
+            blank = F.lower(F.regexp_replace(F.col(c), r"^[\s\u00a0\u200b]+|[\s\u00a0\u200b]+$", "")).isin("", "-", "?", "n/a", "na", "n.d.", "none", "null", "unknown", "not recorded", "not given", "see title", "see methods", "tbd")
             return F.when(F.col(c).isNull(), 0).when(blank, 1).otherwise(2)
         if types[c].startswith("array"):
             return F.coalesce(F.size(c), F.lit(-1))
