@@ -66,10 +66,12 @@ def _word_numbers() -> list[tuple[str, int]]:
 
 def _digits(text: Column) -> Column:
     """Words for numbers as digits, where a unit follows."""
+    words = rf"(?i)\b(?:{'|'.join([*TEENS, *TENS])})\b"
     out = text
     for word, value in _word_numbers():
         out = F.regexp_replace(out, rf"(?i)\b{word}\b(?=\s+(?:ev|electron|volts?|per ?cent|%|nce|kj|kcal|kev|mev))", str(value))
-    return out
+    # few texts spell a number out: the replacements are only evaluated there
+    return F.when(text.rlike(words), out).otherwise(text)
 
 
 def strip_other_parts(text: Column) -> Column:
@@ -80,7 +82,7 @@ def strip_other_parts(text: Column) -> Column:
 
 def energy_text(text: Column) -> Column:
     """An energy expression in a plain form: unit exponents and scale remarks folded into unit words."""
-    out = F.regexp_replace(strip_other_parts(text), r"[\s ​]+", " ")
+    out = F.regexp_replace(strip_other_parts(text), r"[\s\u00a0\u200b]+", " ")
     out = F.regexp_replace(out, r"(?i)mol\s*(?:\^?\s*[-−]\s*1|⁻¹)", "mol")
     out = F.regexp_replace(out, r"(?i)(?:of full\s*)?nce\s*(?:,?\s*0\s*[-–]\s*1 scale|\(\s*=\s*1\s*\)|\(fraction\))", "nce fraction")
     return _digits(out)
