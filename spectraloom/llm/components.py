@@ -24,7 +24,7 @@ def _with_minimum(edges: DataFrame, least: DataFrame, n_edges: int, heavy_from:
     """
     if n_edges < heavy_from:
         return edges.join(least, "u")
-    limit = max(min(10_000, heavy_from), n_edges // 1000)
+    limit = max(1, min(10_000, heavy_from), n_edges // 1000)
     heavy = F.broadcast(least.where(F.col("degree") > limit).select("u", (F.col("degree") / limit + 1).cast("int").alias("parts")))
     salted = edges.join(heavy, "u", "left").withColumn("salt", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))).drop("parts")
     spread = least.join(heavy, "u", "left").withColumn("salt", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).drop("parts")

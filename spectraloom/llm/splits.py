@@ -24,10 +24,8 @@ def hex_id(text: Column) -> Column:
     A run of one or two different digits (000..., fff...) is a placeholder, as is anything without 24 hex digits.
     """
     plain = F.regexp_replace(F.lower(text), r"[\s\u00a0\u200b\ufeff{}\[\]()<>\"'-]", "")
-    digits = F.regexp_extract(plain, r"^(?:[a-z]+[_:.=#]?|[a-z]*[_:.=#])?([0-9a-f]{24})$", 1)
-    bare = F.regexp_extract(plain, r"^([0-9a-f]{24})$", 1)
-    # a prefix that is glued on may itself end in hex letters; the last 24 digits are the id
-    found = F.coalesce(F.nullif(bare, F.lit("")), F.nullif(digits, F.lit("")))
+    # a prefix ends in a separator, or (its hyphen being gone) in a letter that is no hex digit
+    found = F.nullif(F.regexp_extract(plain, r"^(?:[a-z]*[g-z]|[a-z]+[_:.=#])?([0-9a-f]{24})$", 1), F.lit(""))
     return F.when(F.size(F.array_distinct(F.split(found, "(?!^)"))) > 2, found)
 
 

@@ -267,7 +267,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[int], *, most_
 
         # one row of the model's size per partition comes to the driver
         got = (first if number < rounds else rows).mapInPandas(run, "n bigint, change binary").where("n > 0").collect()
-        shared.unpersist()
+        shared.destroy()
         if not got:
             return model
         total = sum(r["n"] for r in got)
