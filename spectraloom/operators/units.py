@@ -58,20 +58,15 @@ NOTE_UNITS = [
 ]
 
 
-def _word_numbers() -> list[tuple[str, int]]:
-    """Number words, compounds before their parts."""
-    pairs = [(f"{t}[- ]?{o}", tv + ov) for t, tv in TENS.items() if tv >= 20 for o, ov in ONES.items()]
-    return pairs + list(TEENS.items()) + list(TENS.items())
-
-
 def _digits(text: Column) -> Column:
-    """Words for numbers as digits, where a unit follows."""
-    words = rf"(?i)\b(?:{'|'.join([*TEENS, *TENS])})\b"
-    out = text
-    for word, value in _word_numbers():
-        out = F.regexp_replace(out, rf"(?i)\b{word}\b(?=\s+(?:ev|electron|volts?|per ?cent|%|nce|kj|kcal|kev|mev))", str(value))
-    # few texts spell a number out: the replacements are only evaluated there
-    return F.when(text.rlike(words), out).otherwise(text)
+    """A number word with a unit after it as digits; other text as it is."""
+    after = r"(?=\s+(?:ev|electron|volts?|per ?cent|%|nce|kj|kcal|kev|mev))"
+    word = rf"(?i)\b((?:{'|'.join(TENS)})(?:[- ]?(?:{'|'.join(ONES)}))?|{'|'.join(TEENS)})\b{after}"
+    found = F.lower(F.regexp_extract(text, word, 1))
+    known = F.create_map(*[x for w, v in {**TENS, **TEENS, **ONES}.items() for x in (F.lit(w), F.lit(v))])
+    value = lambda pattern: F.coalesce(F.try_element_at(known, F.regexp_extract(found, pattern, 1)), F.lit(0))
+    number = value(rf"^({'|'.join([*TEENS, *TENS])})") + value(rf"^(?:{'|'.join(TENS)})[- ]?({'|'.join(ONES)})$")
+    return F.when(text.rlike(word), F.regexp_replace(text, F.lit(word), number.cast("string"))).otherwise(text)
 
 
 def strip_other_parts(text: Column) -> Column:
@@ -85,16 +80,15 @@ def energy_text(text: Column) -> Column:
     out = F.regexp_replace(strip_other_parts(text), r"[\s\u00a0\u200b]+", " ")
     out = F.regexp_replace(out, r"(?i)mol\s*(?:\^?\s*[-−]\s*1|⁻¹)", "mol")
     out = F.regexp_replace(out, r"(?i)(?:of full\s*)?nce\s*(?:,?\s*0\s*[-–]\s*1 scale|\(\s*=\s*1\s*\)|\(fraction\))", "nce fraction")
-    return _digits(out)
+    return out
 
 
-def parsed_energy(text: Column) -> Column:
-    """Struct of the numbers (array<double>) and the unit's alias key of an energy expression.
+def parsed_energy(plain: Column) -> Column:
+    """Struct of the numbers (array<double>) and the unit's alias key of an energy expression in its plain form.
 
     Null, empty and number-free texts give an empty array and a null key. The key is taken from the
     text after the last number, without remarks such as "(lab)" or "nominal", else from an "NCE" before it.
     """
-    plain = energy_text(text)
     numbers = F.transform(F.regexp_extract_all(F.regexp_replace(plain, r"(\d)\s*[-–−]\s*(?=\d)", "$1 ; "), F.lit(f"({_NUMBER})"), 1), lambda x: F.regexp_replace(x, ",", ".").try_cast("double"))
     tail = F.regexp_extract(plain, rf"(?s)^.*\d([^\d]*)$", 1)
     key = F.regexp_replace(F.lower(F.regexp_replace(tail, r"(?i)\((?:lab|nominal|offset)\)|\b(?:nominal|lab|offset|approx\.?)\b", "")), r"[^\p{L}%/]", "")
@@ -149,8 +143,11 @@ def to_common_unit(records: DataFrame, units: DataFrame, contributors: DataFrame
     """
     c = lambda name, kind: F.col(name).cast(kind) if name else F.lit(None).cast(kind)
     from_adduct = F.regexp_extract(c(adduct, "string"), r"\](\d*)[-+]", 1).try_cast("int")
-    base = records.select(
-        F.col(key).alias("key"), F.col("contributor_id"), parsed_energy(F.col(field)).alias("f"), parsed_energy(title_energy(c(title, "string"))).alias("t"),
+    # one step per projection: each text is cleaned once, whatever refers to it later
+    base = records.withColumn("__f", energy_text(F.col(field))).withColumn("__t", energy_text(title_energy(c(title, "string"))))
+    base = base.withColumn("__f", _digits(F.col("__f"))).withColumn("__t", _digits(F.col("__t")))
+    base = base.select(
+        F.col(key).alias("key"), F.col("contributor_id"), parsed_energy(F.col("__f")).alias("f"), parsed_energy(F.col("__t")).alias("t"),
         F.year(c(date, "date")).alias("year"), F.abs(F.coalesce(c(charge, "int"), from_adduct, F.lit(1))).cast("double").alias("charge"), F.col(precursor).cast("double").alias("precursor_mz"),
     )
     alias = alias_table(units)
