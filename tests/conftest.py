@@ -12,7 +12,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
+    s = session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "2", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.coalescePartitions.enabled": "true"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
 
