@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spectraloom.functions import rules
-from spectraloom.functions.text import filled, truthy
+from spectraloom.functions.text import filled, let, truthy
 
 
 def any_of(patterns: Sequence[str]) -> str:
@@ -69,8 +69,8 @@ def first_adduct(fields: Column) -> Column:
         *[tagged(of(k), k, False) for k in ("ADDUCT", "PRECURSOR_TYPE", "ION_TYPE")],
     ]
     parsed = F.transform(F.concat(*groups), lambda c: F.struct(adduct_fields(c["text"]).alias("a"), c["field"].alias("field")))
-    best = F.coalesce(F.get(F.filter(parsed, lambda p: p["a"]["adduct"] != "unknown"), F.lit(0)), F.get(parsed, F.lit(0)))
-    return F.struct(best["a"]["raw"].alias("raw"), F.coalesce(best["a"]["adduct"], F.lit("unknown")).alias("adduct"), F.coalesce(best["a"]["status"], F.lit("missing")).alias("status"), best["field"].alias("field"))
+    first = let(parsed, lambda ps: F.coalesce(F.get(F.filter(ps, lambda p: p["a"]["adduct"] != "unknown"), F.lit(0)), F.get(ps, F.lit(0))))
+    return let(first, lambda best: F.struct(best["a"]["raw"].alias("raw"), F.coalesce(best["a"]["adduct"], F.lit("unknown")).alias("adduct"), F.coalesce(best["a"]["status"], F.lit("missing")).alias("status"), best["field"].alias("field")))
 
 
 def energy_fields(energy: Column) -> Column:
@@ -108,10 +108,9 @@ def formula_counts(formula: Column) -> Column:
     text = F.regexp_replace(F.coalesce(formula, F.lit("")), r"[+\-. ]", "")
     tokens = F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]?\d*)"), 1)
     one = lambda t: F.struct(F.regexp_extract(t, "^([A-Z][a-z]?)", 1).alias("element"), F.coalesce(truthy(F.regexp_extract(t, r"(\d+)$", 1)).try_cast("bigint"), F.lit(1).cast("bigint")).alias("n"))
-    parts = F.transform(tokens, one)
-    elements = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["element"])))
-    total = lambda e: F.aggregate(F.filter(parts, lambda p: p["element"] == e), F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
-    return F.map_from_arrays(elements, F.transform(elements, total))
+    total = lambda parts, e: F.aggregate(F.filter(parts, lambda p: p["element"] == e), F.lit(0).cast("bigint"), lambda a, p: a + p["n"])
+    names = lambda parts: F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["element"])))
+    return let(F.transform(tokens, one), lambda parts: let(names(parts), lambda elements: F.map_from_arrays(elements, F.transform(elements, lambda e: total(parts, e)))))
 
 
 def formula_key(counts: Column) -> Column:

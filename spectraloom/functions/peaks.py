@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spectraloom.functions import rules
+from spectraloom.functions.text import let
 
 _EMPTY = "array<struct<mz:double,intensity:double>>"
 
@@ -23,7 +24,7 @@ def _pairs(peaks: Column, ok) -> Column:
 def clean_peaks(peaks: Column, least: int = 3) -> Column:
     """Finite peaks with m/z > 0 and intensity >= 0 in their order; an empty list where fewer than ``least`` are left."""
     kept = _pairs(peaks, lambda s: (s["mz"] > 0) & (s["intensity"] >= 0))
-    return F.when(F.size(kept) >= least, kept).otherwise(F.array().cast(_EMPTY))
+    return let(kept, lambda k: F.when(F.size(k) >= least, k).otherwise(F.array().cast(_EMPTY)))
 
 
 def peak_text(cleaned: Column, mz_digits: int = 4, intensity_digits: int = 6) -> Column:
@@ -40,22 +41,23 @@ def peak_features(peaks: Column, precursor: Column, *, most: int = 200, scale: f
     A list without a positive intensity, and a null precursor, give null.
     """
     kept = _pairs(peaks, lambda s: (s["mz"] >= 0) & (s["intensity"] >= 0))
-    top = F.array_max(F.transform(kept, lambda p: p["intensity"]))
     done = normalised if isinstance(normalised, Column) else F.lit(normalised)
-    numbered = F.transform(kept, lambda p, i: F.struct((-F.when(done, p["intensity"]).otherwise(F.sqrt(p["intensity"] / top))).alias("weak"), i.alias("at"), p["mz"].alias("mz")))
-    strongest = F.slice(F.array_sort(numbered), 1, most)
-    by_mz = F.array_sort(F.transform(strongest, lambda p: F.struct(p["mz"].alias("mz"), p["weak"].alias("rank"), p["at"].alias("at"))))
-    rows = F.transform(by_mz, lambda p: F.struct((p["mz"] / scale).alias("mz"), (-p["rank"]).alias("intensity"), ((precursor - p["mz"]) / scale).alias("delta")))
-    return F.when((F.size(kept) > 0) & (top > 0) & precursor.isNotNull(), rows)
+
+    def scaled(k: Column, top: Column) -> Column:
+        numbered = F.transform(k, lambda p, i: F.struct((-F.when(done, p["intensity"]).otherwise(F.sqrt(p["intensity"] / top))).alias("weak"), i.alias("at"), p["mz"].alias("mz")))
+        strongest = F.slice(F.array_sort(numbered), 1, most)
+        by_mz = F.array_sort(F.transform(strongest, lambda p: F.struct(p["mz"].alias("mz"), p["weak"].alias("rank"), p["at"].alias("at"))))
+        rows = F.transform(by_mz, lambda p: F.struct((p["mz"] / scale).alias("mz"), (-p["rank"]).alias("intensity"), ((precursor - p["mz"]) / scale).alias("delta")))
+        return F.when((F.size(k) > 0) & (top > 0) & precursor.isNotNull(), rows)
+
+    return let(kept, lambda k: let(F.array_max(F.transform(k, lambda p: p["intensity"])), lambda top: scaled(k, top)))
 
 
 def pad(features: Column, length: int) -> Column:
     """Struct (values array<array<float>>, mask array<boolean>): ``length`` rows, True in the mask where a row is padding."""
     rows = F.transform(F.coalesce(features, F.array().cast("array<struct<mz:double,intensity:double,delta:double>>")), lambda f: F.array(f["mz"].cast("float"), f["intensity"].cast("float"), f["delta"].cast("float")))
-    rows = F.slice(rows, 1, length)
     zero = F.array(*[F.lit(0.0).cast("float")] * 3)
-    values = F.concat(rows, F.array_repeat(zero, F.lit(length) - F.size(rows)))
-    return F.struct(values.alias("values"), F.transform(values, lambda _, i: i >= F.size(rows)).alias("mask"))
+    return let(F.slice(rows, 1, length), lambda r: F.struct(F.concat(r, F.array_repeat(zero, F.lit(length) - F.size(r))).alias("values"), F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i >= F.size(r)).alias("mask")))
 
 
 def linkage_name(text: Column) -> Column:
@@ -90,7 +92,10 @@ def record_labels(headgroup: Column, lipid_class: Column, chains: Column, summar
     Absent slots are 0 and masked out.
     """
     head = label_index(F.coalesce(F.nullif(headgroup, F.lit("")), lipid_class), rules.HEADGROUPS)
-    ordered = sorted_chains(chains, summary)
+    return let(sorted_chains(chains, summary), lambda ordered: _labels(head, ordered))
+
+
+def _labels(head: Column, ordered: Column) -> Column:
     n = F.size(ordered)
     slot = lambda i: F.get(ordered, F.lit(i))
     within = lambda f, low, high: F.forall(ordered, lambda c: F.coalesce((c[f] >= low) & (c[f] <= high), F.lit(False)))
@@ -122,10 +127,8 @@ def decoded_chains(carbon: Column, double_bonds: Column, linkage: Column, count:
 
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits; an empty array gives an empty one."""
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    total = lambda powers: F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+    return let(F.array_max(logits), lambda top: let(F.transform(logits, lambda x: F.exp(x - top)), lambda powers: let(total(powers), lambda t: F.transform(powers, lambda x: x / t))))
 
 
 def argmax(values: Column) -> Column:
@@ -135,9 +138,7 @@ def argmax(values: Column) -> Column:
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Negative log-likelihood of the 0-based target class."""
-    top = F.array_max(logits)
-    total = F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return F.log(total) + top - F.get(logits, target)
+    return let(F.array_max(logits), lambda top: F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)) + top - F.get(logits, target))
 
 
 def masked_mean(loss: Column, mask: Column) -> Column:

@@ -52,6 +52,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; what is broadcast is checked against it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is: the join is then shuffled, with AQE's skew handling."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
