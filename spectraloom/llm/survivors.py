@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.functions.text import let
 from spectraloom.llm.components import connected_components
 from spectraloom.session import cut
 
@@ -30,8 +31,9 @@ TRUST = ["MassBank-data", "MoNA", "GNPS", "PNNL-lipids", "HCE-lysate", "IOBA-NHC
 def usable_peaks(peaks: Column) -> Column:
     """array<struct<rel, mz>>, strongest first: finite, positive m/z and intensity, scaled to the strongest peak; repeats of a peak count once."""
     ok = F.filter(peaks, lambda p: (F.size(p) == 2) & F.coalesce((p[0] > 0) & (p[1] > 0) & (p[0] < 1e9) & (p[1] < 1e300) & ~F.isnan(p[0]) & ~F.isnan(p[1]), F.lit(False)))
-    top = F.array_max(F.transform(ok, lambda p: p[1]))
-    return F.coalesce(F.reverse(F.array_sort(F.array_distinct(F.transform(ok, lambda p: F.struct((p[1] / top).alias("rel"), p[0].alias("mz")))))), F.array().cast("array<struct<rel:double,mz:double>>"))
+    none = F.array().cast("array<struct<rel:double,mz:double>>")
+    scaled = lambda k, top: F.reverse(F.array_sort(F.array_distinct(F.transform(k, lambda p: F.struct((p[1] / top).alias("rel"), p[0].alias("mz"))))))
+    return F.coalesce(let(ok, lambda k: let(F.array_max(F.transform(k, lambda p: p[1])), lambda top: scaled(k, top))), none)
 
 
 def _cells(value: Column, width: float, tolerance: float) -> Column:
