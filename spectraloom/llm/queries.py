@@ -138,4 +138,13 @@ QUERIES = {
     "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_epoch_shares": p7_epoch_shares, "p8_found": p8_found, "p8_composition": p8_composition,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    # ids in one form, reachability over rows that share one, the least id of each set
+    "p2_found": r"""WITH RECURSIVE raw AS (SELECT gold_id, unnest([connectivity_id, split_group_id]) AS x FROM gold_spectra),
+ n AS (SELECT gold_id, regexp_extract(regexp_replace(lower(x), '[\s\x{00A0}\x{200B}\x{FEFF}{}\[\]()<>"''-]', '', 'g'), '^(?:[a-z]*[g-z]|[a-z]+[_:.=#])?([0-9a-f]{24})$', 1) AS id FROM raw WHERE x IS NOT NULL),
+ i AS (SELECT DISTINCT gold_id, id FROM n WHERE id <> '' AND len(list_distinct(string_split(id, ''))) > 2),
+ e AS (SELECT DISTINCT a.id AS u, b.id AS v FROM i a JOIN i b USING (gold_id)),
+ r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+ g AS (SELECT u, min(v) AS group_id, count(DISTINCT v) AS n FROM r GROUP BY 1)
+SELECT DISTINCT gold_id, group_id FROM i JOIN g ON id = u WHERE n >= 2""",
+}
