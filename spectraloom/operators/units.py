@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.session import broadcast_if_small
+
 #: Spellings of units after normalisation (lower case, letters, '%' and '/' only).
 UNIT_ALIASES = {
     "eV": ["ev", "electronvolt", "electronvolts", "elektronvolt", "électronvolt"],
@@ -108,7 +110,8 @@ def alias_table(units: DataFrame) -> DataFrame:
     spark = units.sparkSession
     rows = [(unit, alias) for unit, aliases in UNIT_ALIASES.items() for alias in aliases]
     aliases = spark.createDataFrame(rows, "unit string, alias string")
-    return aliases.join(units.select("unit", "unit_id", "factor_to_ev", "scaled_by"), "unit")
+    once = units.groupBy("unit").agg(F.min_by(F.struct("unit_id", "factor_to_ev", "scaled_by"), "unit_id").alias("u"))  # repeated units mustn't multiply records
+    return aliases.join(once, "unit").select("alias", "u.*")
 
 
 def note_defaults(contributors: DataFrame) -> DataFrame:
@@ -150,13 +153,15 @@ def to_common_unit(records: DataFrame, units: DataFrame, contributors: DataFrame
         F.col(key).alias("key"), F.col("contributor_id"), parsed_energy(F.col("__f")).alias("f"), parsed_energy(F.col("__t")).alias("t"),
         F.year(c(date, "date")).alias("year"), F.abs(F.coalesce(c(charge, "int"), from_adduct, F.lit(1))).cast("double").alias("charge"), F.col(precursor).cast("double").alias("precursor_mz"),
     )
+    # the spellings are a fixed list of this module; contributors are counted. Units and contributors may each hold a third of all rows: no shuffle on them
     alias = alias_table(units)
-    by_field = alias.select(F.col("alias").alias("f_alias"), F.struct("unit_id", "factor_to_ev", "scaled_by").alias("f_unit"))
-    by_title = alias.select(F.col("alias").alias("t_alias"), F.struct("unit_id", "factor_to_ev", "scaled_by").alias("t_unit"))
+    by_field = F.broadcast(alias.select(F.col("alias").alias("f_alias"), F.struct("unit_id", "factor_to_ev", "scaled_by").alias("f_unit")))
+    by_title = F.broadcast(alias.select(F.col("alias").alias("t_alias"), F.struct("unit_id", "factor_to_ev", "scaled_by").alias("t_unit")))
     default = note_defaults(contributors).join(units.withColumnRenamed("unit", "default_unit"), "default_unit")
     default = default.select("contributor_id", "from_year", "to_year", F.struct("unit_id", "factor_to_ev", "scaled_by").alias("n_unit"))
     # at most one row per contributor, so the join below can't multiply records
     default = default.groupBy("contributor_id").agg(F.collect_list(F.struct("from_year", "to_year", "n_unit")).alias("periods"))
+    default = broadcast_if_small(default)
     joined = base.join(by_field, base["f.key"] == F.col("f_alias"), "left").join(by_title, F.col("t.key") == F.col("t_alias"), "left").join(default, "contributor_id", "left")
     holds = lambda p: (p["from_year"].isNull() & p["to_year"].isNull()) | (F.col("year").isNotNull() & (F.coalesce(p["from_year"], F.lit(0)) <= F.col("year")) & (F.coalesce(p["to_year"], F.lit(9999)) >= F.col("year")))
     note = F.get(F.filter("periods", holds), F.lit(0))["n_unit"]
