@@ -514,6 +514,23 @@ def padded_masks(spark, sf_dir):
     return rows.select("row_id", F.posexplode("f.mask").alias("slot", "masked"))
 
 
+# the reference's max_peaks; the two queries above are held to 20 by their SQL
+_MOST = 200
+_FEATURES_200 = _FEATURES.replace("rk <= 20", f"rk <= {_MOST}")
+
+
+@query(f"WITH {_FEATURES_200} SELECT row_id, CAST(slot AS INTEGER) AS slot, round(mz, 9) AS mz, round(v, 6) AS intensity, round(delta, 9) + 0.0::DOUBLE AS delta FROM fs")
+def peak_features_200(spark, sf_dir):
+    rows = _pilot(spark, sf_dir).select("row_id", p.peak_features(F.col("peaks_raw"), F.col("precursor_mz"), most=_MOST).alias("f"))
+    return rows.select("row_id", F.posexplode("f").alias("slot", "x")).select("row_id", "slot", F.round("x.mz", 9).alias("mz"), F.round("x.intensity", 6).alias("intensity"), (F.round("x.delta", 9) + F.lit(0.0)).alias("delta"))
+
+
+@query(f"WITH {_FEATURES_200}, c AS (SELECT row_id, count(*) AS c FROM fs GROUP BY 1) SELECT row_id, CAST(i AS INTEGER) AS slot, i >= coalesce(c, 0) AS masked FROM experimental_ms2_pilot LEFT JOIN c USING (row_id), (SELECT unnest(range(0, {_MOST})) AS i)")
+def padded_masks_200(spark, sf_dir):
+    rows = _pilot(spark, sf_dir).select("row_id", p.pad(p.peak_features(F.col("peaks_raw"), F.col("precursor_mz"), most=_MOST), _MOST).alias("f"))
+    return rows.select("row_id", F.posexplode("f.mask").alias("slot", "masked"))
+
+
 _HEADS = "CASE h " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(rules.HEADGROUPS)) + " END"
 _LINK = "CASE WHEN lower(trim({0})) IN ('ester', 'ether', 'vinyl_ether') THEN lower(trim({0})) END"
 _LABELS = f"""l0 AS (SELECT row_id, coalesce(nullif(prototype_headgroup, ''), lipid_class) AS h, coalesce(chains, []) AS c, {_LINK.format('chain_linkage_summary')} AS sm FROM experimental_ms2_pilot),
