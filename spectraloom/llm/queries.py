@@ -14,10 +14,6 @@ from spectraloom.llm.survivors import measurement_groups, survivors
 from spectraloom.session import cut, table
 
 IDS = ["connectivity_id", "split_group_id"]
-SURVIVING = [
-    "spectrum_id", "source", "source_release", "license", "record_title", "name", "lipid_class", "display_name", "polarity", "adduct_qc_only", "charge", "precursor_mz",
-    "collision_energy_qc_only", "instrument", "instrument_type_qc_only", "formula", "exact_mass", "smiles", "inchikey", "structure_record_id", "chain_linkage_summary", "peaks_raw", "contributor_id", "acquired_on",
-]
 
 
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +56,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per measurement."""
+    """One record per measurement, with every column of the table but its key."""
     pilot = table(spark, sf_dir, "experimental_ms2_pilot")
-    return survivors(pilot.join(_measurements(spark, sf_dir), "row_id"), "group", SURVIVING).withColumnRenamed("group", "measurement_id")
+    fields = [c for c in pilot.columns if c != "row_id"]
+    return survivors(pilot.join(_measurements(spark, sf_dir), "row_id"), "group", fields).withColumnRenamed("group", "measurement_id")
 
 
 def _matched(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
