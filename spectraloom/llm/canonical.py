@@ -23,6 +23,9 @@ from spectraloom.arrow import map_columns
 #: Distinct values a Python worker remembers; a forgotten value is searched again, so no result depends on it.
 REMEMBERED = 200_000
 
+#: Characters from here on (private use) are rigid in the trie and in the typed value.
+RIGID = "\U000f0000"
+
 
 def bound(length: int) -> int:
     """Greatest distance for a value of so many characters."""
@@ -48,7 +51,7 @@ class Trie:
         # cost of typed characters that must not be inserted: digits are rigid in the typed value as well
         far = limit + 1
         n = len(text)
-        rigid = [c.isdigit() for c in text]
+        rigid = [c.isdigit() or c >= RIGID for c in text]
         first = [0] * (n + 1)
         for i in range(1, n + 1):
             first[i] = far if rigid[i - 1] else min(far, first[i - 1] + 1)
@@ -59,7 +62,7 @@ class Trie:
                 for label in node[1]:
                     best[label] = min(best.get(label, far), row[n])
             for ch, child in node[0].items():
-                hard = ch.isupper() or ch.isdigit()
+                hard = ch.isupper() or ch.isdigit() or ch >= RIGID
                 low = ch.lower()
                 new = [far if hard else min(far, row[0] + 1)]
                 least = new[0]
@@ -195,11 +198,12 @@ class InstrumentMatcher(Matcher):
 
 
 class NameMatcher(Matcher):
-    """Compound names: systematic names by the automaton, shorthand by its class and chains.
+    """Compound names by the automaton, systematic names and shorthand.
 
-    Shorthand is rewritten to one form, class and chains ("PC(16:0/18:1)" -> "pc16:0/18:1"), whose
-    characters are all rigid. "_" and other joins leave the order of the chains open: they stand for
-    an entry only where one entry has these chains, or where the reference lists that very spelling.
+    Shorthand is a path of its sorted chains, all rigid, and its class word: codes and stems of up to
+    five letters are rigid, longer words aren't ("phosphatidylcholne 16:0/18:1"). The order of the
+    chains is checked afterwards. "_" leaves it open: such a name stands for an entry only where one
+    entry has these chains, or where the reference lists that very spelling.
     """
 
     #: Glycerophospho stems of class codes, and trivial remarks after a name.
@@ -211,6 +215,8 @@ class NameMatcher(Matcher):
 
     def __init__(self, rows: list[tuple[int, str, str | None, list[str] | None]]):
         super().__init__()
+        self.short = Trie()
+        self.shorts: list[tuple[str, tuple[str, ...]]] = []
         self.open_order: dict[tuple[str, tuple[str, ...]], set[int]] = {}
         self.listed: dict[str, set[int]] = {}
         self.vocabulary: set[str] = set()
@@ -221,7 +227,9 @@ class NameMatcher(Matcher):
                     continue
                 short = self.shorthand(plain(alias))
                 if short:
-                    head, chains, join = short
+                    head, chains, join = short[:3]
+                    if (head, tuple(sorted(chains))) not in self.open_order:
+                        self.add_short(head, chains)
                     self.listed.setdefault(head + join.join(chains), set()).add(label)
                     self.open_order.setdefault((head, tuple(sorted(chains))), set()).add(label)
                 else:
@@ -235,13 +243,33 @@ class NameMatcher(Matcher):
     def systematic(text: str) -> list[str]:
         return re.findall(r"\d+|[^\W\d_]+", text)
 
-    def shorthand(self, t: str) -> tuple[str, list[str], str] | None:
-        """(class, chains, join) of a shorthand name, or None. Join is "/" (positions known) or "_"."""
+    @staticmethod
+    def chain_path(chains: Iterable[str], bare: bool = False) -> str:
+        """Rigid path of the chains in any order; ``bare``: one chain was said to be absent ("0:0")."""
+        return "".join(chr(ord(RIGID) + (ord(c) & 0xFFFF)) for c in "/".join(sorted(chains)) + ("|-" if bare else "|"))
+
+    def add_short(self, head: str, chains: list[str]) -> None:
+        """The paths of a class and its chains, by every word for the class."""
+        at = len(self.shorts)
+        self.shorts.append((head, tuple(sorted(chains))))
+        lyso = head[1:] if head.startswith("l") else None
+        soft = lambda w: w.upper() if len(w) <= 5 else w
+        words = {soft(w) for w, code in self.STEMS.items() if code == (lyso or head)}
+        named = {head.upper()} | ({x for w in words | {lyso.upper()} for x in ("lyso" + w, w + "lyso")} if lyso else words)
+        for w in named:
+            self.short.add(self.chain_path(chains) + w, at)
+        if lyso:
+            for w in named | words | {lyso.upper()}:
+                self.short.add(self.chain_path(chains, True) + w, at)
+
+    def shorthand(self, t: str) -> tuple[str, list[str], str, list[str], bool] | None:
+        """(class, chains, join, typed words, one chain absent) of a shorthand name, or None. Join is "/" (positions known) or "_"."""
         chains = self.CHAIN.findall(t)
         if not chains:
             return None
         rest = self.CHAIN.sub("\0", t)
-        head = "".join(re.findall(r"[^\W\d_]+", re.sub(r"\(?sum\)?", "", rest.replace("\0", " "))))
+        words = re.findall(r"\d+|[^\W\d_]+", re.sub(r"\(?sum\)?", "", rest.replace("\0", " ")))
+        head = "".join(w for w in words if not w.isdigit())
         lyso = head.startswith("lyso") or "lyso" in head
         head = head.replace("lyso", "")
         head = self.STEMS.get(head, head)
@@ -251,7 +279,7 @@ class NameMatcher(Matcher):
         kept = [c for c in chains if c != "0:0"]
         if len(kept) < len(chains) and not head.startswith("l") and len(kept) == 1:
             head = "l" + head
-        return head, kept, join
+        return head, kept, join, words, len(kept) < len(chains) and len(kept) == 1
 
     def forms(self, text: str) -> list[str]:
         t = plain(text).strip("\"'`*“”„ ")
@@ -263,14 +291,7 @@ class NameMatcher(Matcher):
         (t,) = self.forms(text)
         short = self.shorthand(t)
         if short:
-            head, chains, join = short
-            if join == "/" and (hit := self.listed.get(head + "/".join(chains))):
-                return (min(hit), 0, 1) if len(hit) == 1 else (0, -1, len(hit))
-            if join == "_":
-                hit = self.listed.get(head + "_".join(chains)) or self.open_order.get((head, tuple(sorted(chains))))
-                if hit:
-                    return (min(hit), 0, 1) if len(hit) == 1 else (0, -1, len(hit))
-            return 0, -1, 0
+            return self.lookup_short(*short)
         words = self.systematic(t)
         form = "".join(words)
         typed = [w for w in words if len(w) > 4]
@@ -280,6 +301,21 @@ class NameMatcher(Matcher):
         near = {e for d, e in found if d == found[0][0]}
         return (near.pop(), found[0][0], 1) if len(near) == 1 else (0, -1, len(near))
 
+    def lookup_short(self, head: str, chains: list[str], join: str, words: list[str], bare: bool) -> tuple[int, int, int]:
+        found = self.short.search(self.chain_path(chains) + head, 0)
+        if not found and head not in self.STEMS.values() and head[1:] not in self.STEMS.values():
+            # numbers and words of one or two letters besides the class ("d7", "o") aren't misspellings of it
+            if all(len(w) > 2 or w in self.STEMS.values() or w[1:] in self.STEMS.values() for w in words if w.isalpha()) and not any(w.isdigit() for w in words):
+                word = "".join(words)
+                found = self.short.search(self.chain_path(chains, bare) + word, bound(len(word)))
+        hits: set[int] = set()
+        for d, at in found:
+            if d == found[0][0]:
+                name, ordered = self.shorts[at]
+                listed = self.listed.get(name + join.join(chains), set())
+                hits |= listed if join == "/" else listed or self.open_order[name, ordered]
+        return (min(hits), found[0][0], 1) if len(hits) == 1 else (0, -1, len(hits))
+
     def accept_words(self, typed: list[str], label: int) -> bool:
         """A rightly spelled word of the list that the entry doesn't have at that place names another thing."""
 

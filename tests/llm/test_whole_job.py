@@ -1,6 +1,9 @@
 """Registered training-data queries do the whole job."""
 
+import pytest
+
 from spectraloom.llm import queries as q
+from spectraloom.llm.canonical import NameMatcher
 from spectraloom.session import table
 
 
@@ -15,3 +18,19 @@ def test_every_column_survives(spark, sf_dir):
     # no group with chains in a row comes out without
     n = pilot.where("size(chains) > 0").count()
     assert n == 0 or got.where("size(chains) > 0").count() > 0
+
+
+NAMES = [
+    (1, "1-palmitoyl-2-oleoyl-sn-glycero-3-phosphocholine", "PC(16:0/18:1)", None), (2, "1-oleoyl-2-hydroxy-sn-glycero-3-phosphoethanolamine", "LPE(18:1)", None), (3, "1-stearoyl-2-palmitoyl-sn-glycero-3-phosphate", "PA(18:0/16:0)", None),
+    (4, "1-palmitoyl-2-stearoyl-sn-glycero-3-phosphate", "PA(16:0/18:0)", None),
+]
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [("phosphatidylcholne 16:0/18:1", (1, 1, 1)), ("GPChoo[16:0/18:1]", (1, 1, 1)), ("16:0/18:1 Phosphatidylchoilne", (1, 1, 1)), ("lysophosphatidylethanolamin 18:1", (2, 1, 1)), ("phosphatidylethanolamin 18:1/0:0", (2, 1, 1)), ("lysso PE 18:1", (2, 1, 1)),
+     ("phosphatidic acd 18:0/16:0", (3, 1, 1)), ("phosphatidicaccid 18:0/16:0", (3, 1, 1)), ("phosphatidicaccid 18:0_16:0", (0, -1, 2)), ("phosphatidylcholne 18:1/16:0", (0, -1, 0)), ("phosphatidylcholne 18:1_16:0", (1, 1, 1)), ("phosphatidylcholne 16:0/18:2", (0, -1, 0)),
+     ("phosphatidylcholne 16:0/118:1", (0, -1, 0)), ("phosphatidylcholine-d7 16:0/18:1", (0, -1, 0)), ("phosphatidylcholine-O 16:0/18:1", (0, -1, 0)), ("phosphatidylserine 16:0/18:1", (0, -1, 0)), ("lysoPC 18:1", (0, -1, 0)), ("PD 16:0/18:1", (0, -1, 0)), ("PC(16:0/18:1)", (1, 0, 1))],
+)
+def test_misspelt_class_words_in_shorthand(text, found):
+    assert NameMatcher(NAMES).lookup(text) == found
