@@ -27,8 +27,8 @@ from spectraloom.session import cut
 UNITS, DIM = 1 << 15, 16
 #: Labelled documents used at most: a documented bound of the training sample, drawn by hash of the id.
 MOST_LABELLED = 20_000
-#: Unlabelled documents used at most for the rounds after the first stage, drawn by hash of the id.
-MOST_UNLABELLED = 10_000
+#: Documents that a partition holds at a time in a round; each such part begins from the common parameters.
+HELD = 4_000
 PARTS, ROUNDS, WARM, MORE, BATCH = 6, 8, 3, 2, 48
 #: Sentences a partition runs through in a round at least, by repeated passes: few labels get more steps.
 LEAST_SENTENCES = 4_000
@@ -221,13 +221,13 @@ def fresh_model(subjects: list[int], seed: int = 7) -> Model:
     return Model(rng.normal(0, 0.3, (UNITS, DIM)), rng.normal(0, 0.3, (DIM, len(subjects))), np.full(len(subjects), -2.0), tuple(subjects))
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: list[int], *, most_labelled: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED, parts: int = PARTS, rounds: int = ROUNDS, more: int = MORE, rate: float = 0.2) -> Model:
+def train(documents: DataFrame, labels: DataFrame, subjects: list[int], *, most_labelled: int = MOST_LABELLED, held: int = HELD, parts: int = PARTS, rounds: int = ROUNDS, more: int = MORE, rate: float = 0.2) -> Model:
     """The model after ``rounds`` synchronised rounds over labelled documents and ``more`` with unlabelled ones beside them.
 
-    At most ``most_labelled`` and ``most_unlabelled`` documents are used. In the second stage an
-    unlabelled document has the labels that its sentences' scores point to. Labels given twice count
-    once; labels of unknown subjects or documents are left out. Without any label the fresh model
-    comes back, which finds nothing.
+    At most ``most_labelled`` labelled documents are used, and every unlabelled one: a partition holds
+    ``held`` documents and one sum of changes at a time. In the second stage an unlabelled document has
+    the labels that its sentences' scores point to. Labels given twice count once; labels of unknown
+    subjects or documents are left out. Without any label the fresh model comes back, which finds nothing.
     """
     spark = documents.sparkSession
     model = fresh_model(subjects)
@@ -239,10 +239,8 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[int], *, most_
     chosen = given.orderBy(order, "doc_id").limit(most_labelled)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     labelled = texts.join(chosen, "doc_id")
-    # the sample's ids first, so that only its texts move
-    sample = texts.select("doc_id").join(given, "doc_id", "left_anti").orderBy(order, "doc_id").limit(most_unlabelled)
-    unlabelled = texts.join(sample, "doc_id").withColumn("labels", F.lit(None).cast("array<int>"))
-    rows = cut(labelled.unionByName(unlabelled).repartition(parts, "doc_id"))
+    unlabelled = texts.join(given, "doc_id", "left_anti").withColumn("labels", F.lit(None).cast("array<int>"))
+    rows = cut(labelled.unionByName(unlabelled).repartition(parts, "doc_id").sortWithinPartitions("doc_id"))
     first = cut(rows.where("labels is not null"))
     index = {s: i for i, s in enumerate(subjects)}
     for number in range(rounds + more):
@@ -250,9 +248,18 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[int], *, most_
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, number=number) -> Iterator[pd.DataFrame]:
             scores = shared.value.word_scores()
-            data = []
+            data: list[tuple[list[str], np.ndarray]] = []
+            total, change = 0, np.zeros(sum(x.size for x in (shared.value.embed, shared.value.out, shared.value.bias)))
+
+            def add() -> None:
+                nonlocal total
+                *moved, n = local_round(shared.value, data, number, rate / (1 + 0.15 * number))
+                change[:] += n * np.concatenate([c.ravel() for c in moved])
+                total += n
+                data.clear()
+
             for batch in batches:
-                for doc, text, own in zip(batch["doc_id"], batch["text"], batch["labels"]):
+                for text, own in zip(batch["text"], batch["labels"]):
                     found = sentences(text)
                     y = np.zeros(len(index))
                     if own is not None:
@@ -260,10 +267,12 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[int], *, most_
                     elif found:
                         y = likely_labels(_sigmoid(scores.logits(found)))
                     if y.any():
-                        data.append((doc, found, y))
-            data.sort(key=lambda d: d[0])
-            *change, n = local_round(shared.value, [d[1:] for d in data], number, rate / (1 + 0.15 * number))
-            yield pd.DataFrame({"n": [n], "change": [np.concatenate([c.ravel() for c in change]).astype(np.float32).tobytes()]})
+                        data.append((found, y))
+                        if len(data) == held:
+                            add()
+            if data:
+                add()
+            yield pd.DataFrame({"n": [total], "change": [(change / max(1, total)).astype(np.float32).tobytes()]})
 
         # one row of the model's size per partition comes to the driver
         got = (first if number < rounds else rows).mapInPandas(run, "n bigint, change binary").where("n > 0").collect()
