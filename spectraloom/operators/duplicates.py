@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.text import shown, sorted_distinct, stable_hash, truthy
@@ -30,8 +30,9 @@ def with_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def duplicate_groups(df: DataFrame, example_ids: int = 10) -> DataFrame:
     """One row per ``peak_identity_hash``: size, relation, distinct values and the first ids in order.
 
-    Examples are the least ``example_ids`` of (_ord, id) pairs: kept bounded while aggregating,
-    since only pairs among the group's first by a bounded sort are ever gathered.
+    ``example_spectrum_ids`` has the ids of the least ``example_ids`` (_ord, id) pairs, null ids too. A
+    group limit keeps that many rows of a group where they lie, so a hot group isn't gathered. With
+    0 there is no such column, and no second aggregation.
     """
     energy = F.struct(F.col("energy.raw"), F.col("energy.value"), F.col("energy.unit"), F.col("energy.status"))
     missing = (F.col("energy.status") == "missing") | (truthy(F.col("instrument")).isNull() & truthy(F.col("instrument_type")).isNull())
@@ -45,6 +46,7 @@ def duplicate_groups(df: DataFrame, example_ids: int = 10) -> DataFrame:
         F.bool_or(missing).alias("some_missing"),
         sorted_distinct(unknown("source")).alias("sources"),
         sorted_distinct(unknown("structure_id")).alias("structure_ids"),
+        sorted_distinct(unknown("connectivity_id")).alias("connectivity_ids"),
         sorted_distinct(shown(F.col("energy.raw"))).alias("energy_values"),
         sorted_distinct(shown(F.coalesce(truthy(F.col("instrument")), F.col("instrument_type")))).alias("instrument_values"),
         F.min("_ord").alias("first_ord"),
@@ -58,6 +60,12 @@ def duplicate_groups(df: DataFrame, example_ids: int = 10) -> DataFrame:
         .when(F.col("some_missing"), "missing_acquisition_metadata")
         .otherwise("same_source_acquisition_duplicate_candidate")
     )
+    if example_ids:
+        place = F.row_number().over(Window.partitionBy("peak_identity_hash").orderBy("_ord", "spectrum_id"))
+        firsts = df.select("peak_identity_hash", "_ord", "spectrum_id").withColumn("place", place).where(F.col("place") <= example_ids)
+        pairs = F.array_sort(F.collect_list(F.struct("place", "spectrum_id")))
+        firsts = firsts.groupBy("peak_identity_hash").agg(F.transform(pairs, lambda x: x["spectrum_id"]).alias("example_spectrum_ids"))
+        by = by.join(firsts, "peak_identity_hash")
     return by.withColumn("duplicate_relation", relation).withColumn("duplicate_group_id", stable_hash("dup", F.lit("duplicate_group:v1"), F.col("peak_identity_hash")))
 
 

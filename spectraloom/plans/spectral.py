@@ -252,14 +252,21 @@ r AS (SELECT *, CASE WHEN size = 1 THEN 'unique' WHEN n_records = 1 THEN 'remova
 
 @query(f"WITH {_SPECTRA}, {_GROUPS} SELECT peak_hash AS peak_identity_hash, size AS duplicate_group_size, relation AS duplicate_relation, sources, energy_values, instrument_values FROM r WHERE size > 1")
 def duplicate_groups(spark, sf_dir):
-    groups = duplicates.duplicate_groups(_spectra(spark, sf_dir)).where("duplicate_group_size > 1")
+    groups = duplicates.duplicate_groups(_spectra(spark, sf_dir), example_ids=0).where("duplicate_group_size > 1")
     return groups.select("peak_identity_hash", "duplicate_group_size", "duplicate_relation", *[_joined(F.col(c)).alias(c) for c in ("sources", "energy_values", "instrument_values")])
 
 
+@query()
+def duplicate_group_ids(spark, sf_dir):
+    """Of each group the first ten spectrum ids in the order of arrival, and its connectivity ids."""
+    groups = duplicates.duplicate_groups(_spectra(spark, sf_dir)).where("duplicate_group_size > 1")
+    return groups.select("peak_identity_hash", "duplicate_group_size", *[_joined(F.col(c)).alias(c) for c in ("connectivity_ids", "example_spectrum_ids")])
+
+
 @query(f"WITH {_SPECTRA}, {_GROUPS} SELECT s4.ord AS row_id, r.size AS duplicate_group_size, r.relation AS duplicate_relation FROM s4 JOIN r USING (peak_hash)")
 def duplicate_relation(spark, sf_dir):
     rows = _spectra(spark, sf_dir)
-    return duplicates.stamp_groups(rows.select("_ord", "peak_identity_hash"), duplicates.duplicate_groups(rows)).select(F.col("_ord").alias("row_id"), "duplicate_group_size", "duplicate_relation")
+    return duplicates.stamp_groups(rows.select("_ord", "peak_identity_hash"), duplicates.duplicate_groups(rows, example_ids=0)).select(F.col("_ord").alias("row_id"), "duplicate_group_size", "duplicate_relation")
 
 
 # --- roll-ups and histograms -----------------------------------------------------------------------

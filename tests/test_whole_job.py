@@ -1,6 +1,9 @@
 """Registered queries do the whole job, on small tables of their own."""
 
-from spectraloom.plans import spectral
+from pyspark.sql import functions as F
+
+from spectraloom.operators import duplicates
+from spectraloom.plans import spectral, structures
 
 
 def test_all_of_200_peaks(spark, tmp_path):
@@ -12,3 +15,16 @@ def test_all_of_200_peaks(spark, tmp_path):
     assert sorted(tuple(r)[0] for r in masks) == [1, 2, 3] and {r["count(1)"] for r in masks} == {200}
     free = spectral.QUERIES["padded_masks_200"](spark, str(tmp_path)).where("not masked").groupBy("row_id").count().collect()
     assert sorted(map(tuple, free)) == [(1, 60), (2, 200)]
+
+
+def test_first_ids_of_a_group(spark, sf_dir):
+    rows = spectral._spectra(spark, sf_dir)
+    got = {r["peak_identity_hash"]: r for r in duplicates.duplicate_groups(rows).collect()}
+    ids = {}
+    for r in sorted(rows.select("peak_identity_hash", "_ord", "spectrum_id", "connectivity_id").collect(), key=lambda r: r["_ord"]):
+        ids.setdefault(r["peak_identity_hash"], []).append(r)
+    assert got.keys() == ids.keys()
+    for k, items in ids.items():
+        assert got[k]["example_spectrum_ids"] == [r["spectrum_id"] for r in items[:10]] and got[k]["connectivity_ids"] == sorted({r["connectivity_id"] for r in items})
+    hot = rows.limit(1).withColumn("_ord", F.explode(F.sequence(F.lit(1), F.lit(30)))).withColumn("spectrum_id", F.when(F.col("_ord") != 3, F.concat(F.lit("s"), F.col("_ord"))))
+    assert duplicates.duplicate_groups(hot).first()["example_spectrum_ids"] == [None if i == 3 else f"s{i}" for i in range(1, 11)]
