@@ -279,3 +279,22 @@ def explode_packed(df: DataFrame, key: str, first: str, second: str) -> DataFram
 
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b"))
     return map_columns(rows, lambda: parse, SCHEMA)
+
+
+def parsed_lists(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """(key, first, second) with each quantity's values in order as array<double>; a slot without a number is a null in its place."""
+
+    def parse(columns: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {key: columns["k"], first: [], second: []}
+        for a, b in zip(columns["a"], columns["b"]):
+            values: dict[str, list] = {first: [], second: []}
+            for column, text, partner in ((first, a, b), (second, b, a)):
+                fields, pairs, _ = parse_packed(text, alone=partner is None or not partner.strip())
+                for name, slots in zip((first, second) if pairs else (column,), fields):
+                    values[name] += [value for value, _, _ in slots]
+            for name in (first, second):
+                out[name].append(values[name])
+        return out
+
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b"))
+    return map_columns(rows, lambda: parse, f"{key} bigint, {first} array<double>, {second} array<double>")

@@ -9,6 +9,7 @@ from spectraloom.functions.peaks import display_name, sorted_chains
 from spectraloom.operators import evaluation as ev
 from spectraloom.operators import matching
 from spectraloom.operators.molecule import parse_structures
+from spectraloom.operators.packed import parsed_lists
 from spectraloom.sources.files import massspecgym_records
 from spectraloom.session import table
 
@@ -73,8 +74,10 @@ def parse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def massspecgym_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows whose lists are comma-joined, as the plain reader takes them; packed lists of other forms are for p4."""
-    rows = massspecgym_records(table(spark, sf_dir, "massspecgym_raw").withColumn("parent_mass", F.col("parent_mass").cast("string")))
+    """Raw rows as spectra, their lists parsed in all of p4's notations and paired by position."""
+    raw = table(spark, sf_dir, "massspecgym_raw").withColumn("parent_mass", F.col("parent_mass").cast("string"))
+    lists = parsed_lists(raw, "raw_id", "mzs", "intensities")
+    rows = massspecgym_records(raw.drop("mzs", "intensities").join(lists, "raw_id"))
     return rows.select("spectrum_id", "polarity", "adduct", "num_peaks", F.round("precursor_mz", 6).alias("precursor_mz"), "upstream_fold")
 
 

@@ -127,12 +127,15 @@ def massspecgym_records(rows: DataFrame, least_peaks: int = 3) -> DataFrame:
     """Spectrum records of MassSpecGym rows with a fitting formula: the filter stands before the peaks are parsed.
 
     The two comma-joined lists are paired to the shorter one; items that are no numbers drop out of their list first.
+    Lists that were parsed before (arrays) are paired by position, and pairs without both numbers drop out.
     """
-    floats = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), ","), finite), lambda x: x.isNotNull())
+    parsed = dict(rows.dtypes)["mzs"].startswith("array")
+    floats = lambda c: F.col(c) if parsed else F.filter(F.transform(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), ","), finite), lambda x: x.isNotNull())
     kept = rows.where(n.lipid_candidate(n.formula_counts(F.col("formula")), F.lit(""), F.col("smiles")))
     both = kept.select("*", floats("mzs").alias("__m"), floats("intensities").alias("__i"))
     length = F.least(F.size("__m"), F.size("__i"))
     peaks = F.zip_with(F.slice("__m", 1, length), F.slice("__i", 1, length), lambda m, i: F.struct(m.alias("mz"), i.alias("intensity")))
+    peaks = F.filter(peaks, lambda x: x["mz"].isNotNull() & x["intensity"].isNotNull())
     info = n.adduct_fields(F.col("adduct"))
     known = F.when(info["adduct"] != "unknown", info["adduct"])
     out = both.select(
