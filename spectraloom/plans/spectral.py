@@ -577,6 +577,15 @@ def masked_cross_entropy(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("label", loss.alias("l"), (F.col("vec_id") % 2 == 0).alias("m")).groupBy("label").agg(F.round(p.masked_mean(F.col("l"), F.col("m")), 6).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
 
 
+@query(f"WITH {_SOFT}, {_LABELS} SELECT label, round(coalesce(avg(CASE WHEN len(c) > 1 THEN ln(t) + m - z[label % 6 + 1] END), 0), 6) AS loss, count(CASE WHEN len(c) > 1 THEN 1 END) AS n_unmasked, count(*) AS n_rows FROM sp LEFT JOIN l1 ON row_id = vec_id GROUP BY 1")
+def masked_cross_entropy_chains(spark, sf_dir):
+    logits = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
+    encoded = p.record_labels(F.col("prototype_headgroup"), F.col("lipid_class"), F.col("chains"), F.col("chain_linkage_summary"))
+    masks = _pilot(spark, sf_dir).select(F.col("row_id").alias("vec_id"), encoded["chain_mask"][1].alias("m"))
+    rows = table(spark, sf_dir, "embeddings").join(masks, "vec_id", "left").select("label", p.cross_entropy(logits, F.col("label") % 6).alias("l"), F.coalesce("m", F.lit(False)).alias("m"))
+    return rows.groupBy("label").agg(F.round(p.masked_mean(F.col("l"), F.col("m")), 6).alias("loss"), F.count_if("m").alias("n_unmasked"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(f"""SELECT k.vec_id, CAST(2 + abs(k.label) % 39 AS INTEGER) AS carbon FROM embeddings k""")
 def label_decoding(spark, sf_dir):
     index = F.array((F.abs("label") % 39).cast("int"))
