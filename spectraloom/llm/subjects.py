@@ -141,7 +141,7 @@ def targets(p: np.ndarray, labels: np.ndarray, number: int) -> np.ndarray:
     Warm-up shares a document's labels evenly. After it a sentence goes to its likeliest label, or to a
     subject outside the labels that is much likelier (a missing or wrong label), or to none where even
     the likeliest is unlikely: what stands in documents of all subjects never becomes likely for one. The
-    bar rises from round to round.
+    bar rises from round to round. Further labels of the document that are sure by themselves are targets of the sentence too.
     """
     n = labels.sum(axis=1, keepdims=True)
     bar = min(0.3, 0.15 + 0.03 * (number - WARM))
@@ -154,6 +154,7 @@ def targets(p: np.ndarray, labels: np.ndarray, number: int) -> np.ndarray:
     keep = np.where(chosen == best, best_p > bar, True) & (n[:, 0] > 0)
     out = np.zeros_like(p)
     out[np.arange(len(p))[keep], chosen[keep]] = 1.0
+    out[inside >= SURE] = 1.0
     return out
 
 
@@ -287,12 +288,10 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[int], *, most_
 
 
 def sentence_subjects(scores: WordScores, texts: list[str], sure: float = SURE) -> np.ndarray:
-    """Index of the subject that each sentence treats, or -1."""
+    """Whether each sentence treats each subject: a sentence may treat several or none."""
     if not texts or not scores.model.subjects:
-        return np.full(len(texts), -1)
-    p = _sigmoid(scores.logits(texts))
-    best = p.argmax(axis=1)
-    return np.where(p[np.arange(len(p)), best] >= sure, best, -1)
+        return np.zeros((len(texts), len(scores.model.subjects)), dtype=bool)
+    return _sigmoid(scores.logits(texts)) >= sure
 
 
 def score_documents(documents: DataFrame, model: Model, *, sure: float = SURE) -> DataFrame:
@@ -313,8 +312,7 @@ def score_documents(documents: DataFrame, model: Model, *, sure: float = SURE) -
             for doc, ss in zip(columns["doc_id"], split):
                 own = found[at : at + len(ss)]
                 at += len(ss)
-                hits = np.unique(own[own >= 0], return_counts=True)
-                rows += [(doc, subjects[k], int(n), len(ss)) for k, n in zip(*hits)] or [(doc, None, 0, len(ss))]
+                rows += [(doc, subjects[k], int(n), len(ss)) for k, n in enumerate(own.sum(axis=0)) if n] or [(doc, None, 0, len(ss))]
             return {name: [r[i] for r in rows] for i, name in enumerate(("doc_id", "subject_id", "n_treating", "n_sentences"))}
 
         return step
