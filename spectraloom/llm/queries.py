@@ -9,7 +9,7 @@ from spectraloom.llm.bpe import encode_texts
 from spectraloom.llm.canonical import ClassMatcher, InstrumentMatcher, NameMatcher, match_values, reference_rows
 from spectraloom.llm.mixing import mix, shares
 from spectraloom.llm.splits import assign_splits, related_groups
-from spectraloom.llm.subjects import score_documents, train
+from spectraloom.llm.subjects import score_blocks, train, written_blocks
 from spectraloom.llm.survivors import measurement_groups, survivors
 from spectraloom.session import cut, table
 
@@ -117,7 +117,8 @@ def p7_epoch_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     subjects = sorted(r[0] for r in reference_rows(table(spark, sf_dir, "subject_areas"), "subject_id", most=1000))
-    return score_documents(documents, train(documents, table(spark, sf_dir, "subject_labels"), subjects))
+    blocks = written_blocks(documents, table(spark, sf_dir, "subject_labels"), subjects)
+    return score_blocks(blocks, train(blocks, subjects))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
-from spectraloom.llm.subjects import score_documents, sentences, train
+import numpy as np
+
+from spectraloom.llm.subjects import DIM, Block, fresh_model, parse_documents, score_documents, sentences, train, written_blocks
 
 THINGS = {1: ["the pump", "the detector", "a gradient line", "the ion source"], 2: ["the sourdough", "an egg yolk", "smoked herring", "the oat porridge"], 3: ["the licence clause", "a consent form", "the sublicence", "the statute"]}
 DOES = {1: ["leaked at the ferrule", "lost transmission", "drifted by ppm"], 2: ["browned too fast", "tasted rancid", "was whisked slowly"], 3: ["forbids redistribution", "was contested in court", "binds every user"]}
@@ -43,7 +45,7 @@ def test_held_out_documents(spark):
     docs += [(900, None), (901, ""), (902, "1.5\t2.5\n"), (903, "That is all for now.")]
     labels += [(7, 99), (None, 1), (12345, 2)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    model = train(d, spark.createDataFrame(labels, "doc_id bigint, subject_id int"), [1, 2, 3], parts=2)
+    model = train(written_blocks(d, spark.createDataFrame(labels, "doc_id bigint, subject_id int"), [1, 2, 3]), [1, 2, 3])
     rows = score_documents(d, model).collect()
     got = {}
     for r in rows:
@@ -57,5 +59,40 @@ def test_held_out_documents(spark):
 def test_without_labels_nothing_is_found(spark):
     d = spark.createDataFrame([(1, "It leaked at once. It did.")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, subject_id int")
-    assert score_documents(d, train(d, none, [1, 2], parts=1)).where("subject_id is not null").count() == 0
-    assert score_documents(d.where("false"), train(d, none, [], parts=1)).count() == 0
+    model = train(written_blocks(d, none, [1, 2]), [1, 2])
+    assert score_documents(d, model).where("subject_id is not null").count() == 0
+    assert score_documents(d.where("false"), train(written_blocks(d, none, []), [])).count() == 0
+    assert train(parse_documents(d.where("false"), none, [1, 2]), [1, 2]).subjects == (1, 2)
+
+
+def test_gradient_is_that_of_the_loss(spark):
+    d = spark.createDataFrame([(1, "The pump leaked. It was the old pump."), (2, "An egg yolk browned.")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 2)], "doc_id bigint, subject_id int")
+    (row,) = parse_documents(d.coalesce(1), labels, [1, 2], slices=1).collect()
+    block, model = Block(row.asDict()), fresh_model([1, 2])
+    goal = np.zeros((3, 2))
+    goal[[0, 1, 2], [0, 0, 1]] = 1
+
+    def loss():
+        p = block.forward(model)[1]
+        return -(goal * np.log(p) + (1 - goal) * np.log(1 - p)).sum()
+
+    units, rows, top, n = block.gradient(model, warm=True, labelled=True, bar=0.25)
+    assert n == 3
+    for array, at, found in ((model.embed, (int(units[3]), 5), rows[3, 5]), (model.out, (2, 1), top[2, 1]), (model.bias, (0,), top[DIM, 0])):
+        old, step = array[at], 1e-2
+        array[at] = old + step
+        up = loss()
+        array[at] = old - step
+        down = loss()
+        array[at] = old
+        assert abs((up - down) / (2 * step) - found) < 2e-3
+
+
+def test_a_step_is_one_gradient_however_many_partitions(spark):
+    rng = random.Random(3)
+    docs = [(i, document(rng, {i % 3 + 1: 4})) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 3 + 1) for i in range(60)], "doc_id bigint, subject_id int")
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    one, many = (train(parse_documents(d.repartition(n, "doc_id"), labels, [1, 2, 3], slices=2), [1, 2, 3], warm=3, rounds=1, slices=2) for n in (1, 5))
+    assert np.abs(one.embed - many.embed).max() < 1e-2 and np.abs(one.out - many.out).max() < 1e-2
