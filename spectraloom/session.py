@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,16 +35,19 @@ def shared_checkpoints(spark: SparkSession) -> str:
     """The reliable checkpoint folder of the session.
 
     The folder a cluster names in ``spark.checkpoint.dir`` is used as it is. Only where that is
-    unset (local tests) a folder of this machine is made.
+    unset and the master is local (tests) a folder of this machine is made; on a cluster that would
+    lose the data with the machine, so it is refused.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = named or os.path.join(tempfile.gettempdir(), "spectraloom-checkpoints")
-    context.setCheckpointDir(folder)
-    return folder
+    master = context.master
+    if not named and master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on the cluster {master}")
+    context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "spectraloom-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -52,6 +56,20 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def written(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, by the columns ``partition_by``.
+
+    For data that is read again and again in parts: a filter on those columns reads only its files.
+    The table goes when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_checkpoints(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is: the join is then shuffled, with AQE's skew handling."""
     from pyspark.sql import functions as F
