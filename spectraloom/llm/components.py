@@ -1,8 +1,10 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Both stars need, for each node, the least of its neighbours: a ``min`` aggregate, combined on the map
-side, that is joined back to the edges. No node's neighbours are ever gathered in one task, and each
-round's edges go to the reliable checkpoint folder, so a lost executor costs at most one round.
+side, that is joined back to the edges. No node's neighbours are ever gathered in one group: the
+join's own exchanges let adaptive execution split the partition of a node with very many edges, at
+every size alike. Each round's edges go to the reliable checkpoint folder, so a lost executor costs
+at most one round.
 """
 
 from __future__ import annotations
@@ -12,31 +14,12 @@ from pyspark.sql import functions as F
 
 from spectraloom.session import cut
 
-#: An edge list below this has no node worth salting.
-HEAVY_EDGES = 1_000_000
-
-
-def _with_minimum(edges: DataFrame, least: DataFrame, n_edges: int, heavy_from: int) -> DataFrame:
-    """``edges`` (u, v) with the node table's ``m`` of u. Heavy nodes are joined in salted parts.
-
-    A node is heavy with more than max(10 000, edges / 1000) edges, so there are at most 2000 heavy
-    nodes: the broadcast table has that bound.
-    """
-    if n_edges < heavy_from:
-        return edges.join(least, "u")
-    limit = max(1, min(10_000, heavy_from), n_edges // 1000)
-    heavy = F.broadcast(least.where(F.col("degree") > limit).select("u", (F.col("degree") / limit + 1).cast("int").alias("parts")))
-    salted = edges.join(heavy, "u", "left").withColumn("salt", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))).drop("parts")
-    spread = least.join(heavy, "u", "left").withColumn("salt", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).drop("parts")
-    return salted.join(spread, ["u", "salt"]).drop("salt")
-
-
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("coalesce(sum(cast(xxhash64(u, v) as decimal(38,0))), 0)").alias("h")).first()
     return row["n"], int(row["h"])
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", *, max_rounds: int = 60, heavy_from: int = HEAVY_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", *, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in ``edges``; the component is its least node.
 
     Edges with a null end are dropped, loops and repeated edges do no harm, an edge list without
@@ -51,12 +34,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", *, max_ro
     for _ in range(max_rounds):
         # large-star: every greater neighbour of u is linked to the least of u and its neighbours
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = _with_minimum(both, least, 2 * state[0], heavy_from).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small-star: u and its lesser neighbours are linked to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-        joined = _with_minimum(large, least, 2 * state[0], heavy_from)
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        lesser = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = lesser.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         links = cut(small)
         new = _state(links)
         if new == state:
