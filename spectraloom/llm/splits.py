@@ -1,21 +1,23 @@
 """Splits that keep related records together.
 
 Records are related when they share an id; sets of related records are the connected components of
-the graph whose nodes are the ids. A component's hash gives its place in [0, 1), and the ranges of
-that place that go to each split are set per stratum so that the rows come out in proportion.
+the graph whose nodes are the ids. A component's hash gives its place in [0, 1), and ranges of that
+place go to the splits so that the rows of each stratum, and of all strata together, come out in proportion.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.llm.components import connected_components
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
-SLICES = 1024
+SLICES = 256
 
 
 def hex_id(text: Column) -> Column:
@@ -46,31 +48,51 @@ def related_groups(df: DataFrame, key: str, ids: Sequence[str]) -> DataFrame:
     return out.select(F.col("key").alias(key), "group_id", F.coalesce("n_ids", F.lit(0)).cast("bigint").alias("n_ids"))
 
 
+def _diffuse(cells: pd.DataFrame, proportions: Mapping[str, float]) -> pd.DataFrame:
+    """Gives each cell, in its order, to the split that lacks most rows, in its stratum and over all cells so far.
+
+    What one stratum's rounding leaves over is made good by the next, so that proportions hold over all
+    rows however small the strata are.
+    """
+    names, share = list(proportions), np.array(list(proportions.values()), dtype=float)
+    got = np.zeros(len(names))
+    chosen = []
+    for _, stratum in cells.groupby("stratum_no", sort=True):
+        own = np.zeros(len(names))
+        for w in stratum["w"]:
+            lack = share * (own.sum() + w) - own + share * (got.sum() + w) - got
+            k = int(np.argmax(lack))
+            own[k] += w
+            got[k] += w
+            chosen.append(names[k])
+    return cells.assign(split=chosen)
+
+
 def assign_splits(rows: DataFrame, key: str, group: str, stratum: Sequence[str], *, proportions: Mapping[str, float] = PROPORTIONS, seed: int = 20260626, slices: int = SLICES) -> DataFrame:
     """(key, group, split): all rows of a group in one split, each stratum's rows in proportion.
 
-    A group's stratum is that of most of its rows (ties: the least). Within a stratum the groups fall
-    by hash into ``slices`` slices of each size class (powers of two); slices are laid end to end,
-    largest classes first, and a slice goes to the split in whose share its middle lies. Slices per
-    stratum are bounded (at most 64 classes x ``slices``), so no stratum is ever gathered whole. A null
-    group is a group of its own row.
+    A group's stratum is that of most of its rows (ties: the least). A stratum's groups fall by hash into
+    ``slices`` ranges of each size class (powers of two); a range goes as a whole to the split that
+    lacks most rows, the largest strata and classes first, and what rounding leaves over in one stratum
+    is carried to the next. Ranges are aggregated before they are put in order: one task sees at most
+    strata x size classes (64) x ``slices`` rows, never groups or records. A null group is a group of its
+    own row; a row with a null key is kept with its group.
     """
-    groups = rows.select(F.col(key).alias("key"), F.coalesce(F.col(group), F.concat(F.lit("row:"), F.col(key).cast("string"))).alias("g"), F.col(group).alias("had"), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in stratum]).alias("s"))
+    own = F.coalesce(F.col(group), F.concat(F.lit("row:"), F.coalesce(F.col(key).cast("string"), F.lit("?"))))
+    s = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in stratum])
+    groups = rows.select(F.col(key).alias("key"), own.alias("g"), F.col(group).alias("had"), F.to_json(s).alias("s"))
     per = groups.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("g").agg(F.sum("n").alias("rows"), F.min(F.struct((-F.col("n")).alias("n"), "s"))["s"].alias("s"))
-    place = F.pmod(F.xxhash64(F.lit(seed), "g"), F.lit(slices))
-    # groups as large as a slice's share stand in a slice of their own class, the largest first: they can't unsettle the small splits
+    place = F.pmod(F.xxhash64(F.lit(seed), "g"), F.lit(slices)).cast("int")
     main = main.withColumn("class", F.floor(F.log2("rows")).cast("int")).withColumn("slice", place)
-    weights = main.groupBy("s", "class", "slice").agg(F.sum("rows").alias("w"))
-    order = Window.partitionBy("s").orderBy(F.desc("class"), "slice")
-    total = Window.partitionBy("s")
-    middle = (F.sum("w").over(order) - F.col("w") / 2) / F.sum("w").over(total)
-    split, upper = F.lit(None).cast("string"), 0.0
-    chain = None
-    for name, share in proportions.items():
-        upper += share
-        chain = F.when(F.col("middle") <= upper, name) if chain is None else chain.when(F.col("middle") <= upper, name)
-    split = chain.otherwise(list(proportions)[0])
-    ranges = weights.withColumn("middle", middle).select("s", "class", "slice", split.alias("split"))
+    cells = main.groupBy("s", "class", "slice").agg(F.sum("rows").alias("w"))
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.groupby("s")["w"].sum()
+        order = {name: i for i, name in enumerate(sorted(sizes.index, key=lambda x: (-sizes[x], x)))}
+        pdf = pdf.assign(stratum_no=pdf["s"].map(order)).sort_values(["stratum_no", "class", "w", "slice"], ascending=[True, False, False, True])
+        return _diffuse(pdf, proportions)[["s", "class", "slice", "split"]]
+
+    ranges = cells.groupBy(F.lit("all").alias("whole")).applyInPandas(spread, "s string, class int, slice int, split string")
     by_group = main.join(ranges, ["s", "class", "slice"]).select("g", "split")
     return groups.join(by_group, "g").select(F.col("key").alias(key), F.col("had").alias(group), "split")
