@@ -59,7 +59,7 @@ def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per measurement, with every column of the table but its key."""
     pilot = table(spark, sf_dir, "experimental_ms2_pilot")
     fields = [c for c in pilot.columns if c != "row_id"]
-    return survivors(pilot.join(_measurements(spark, sf_dir), "row_id"), "group", fields).withColumnRenamed("group", "measurement_id")
+    return survivors(pilot, cut(_measurements(spark, sf_dir)), fields).withColumnRenamed("group", "measurement_id")
 
 
 def _matched(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ field by field in a single aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ MZ_TOL, REL_TOL = 0.0056, 0.0006
 #: Peaks below this share of the strongest may be missing in a copy.
 WEAK = 0.02
 MZ_CELL, REL_CELL = 0.05, 0.004
+#: Keys of a cell that one task compares with the whole cell.
+HEAVY = 1_000
+
+#: Texts that stand for a value that isn't there.
+STAND_INS = ["", "-", "?", "n/a", "na", "n.d.", "none", "null", "unknown", "not recorded", "not given", "see title", "see methods", "tbd"]
 
 #: Sources, the most trusted first (a parameter of ``survivors``).
 TRUST = ["MassBank-data", "MoNA", "GNPS", "PNNL-lipids", "HCE-lysate", "IOBA-NHC", "local-MGF"]
@@ -59,53 +64,123 @@ def same_spectrum(a: Column, b: Column) -> Column:
     return (fewer >= 2) & covered(a, b) & covered(b, a) & F.when(F.size(a) <= F.size(b), all_in(a, b)).otherwise(all_in(b, a))
 
 
-def measurement_groups(df: DataFrame, key: str = "row_id", peaks: str = "peaks_raw", record_id: str = "spectrum_id", owner: str = "contributor_id", precursor: str = "precursor_mz") -> DataFrame:
+def rounded(peaks: Column) -> Column:
+    """The form in which exact copies are equal."""
+    return F.array_sort(F.transform(peaks, lambda x: F.struct(F.round(x["mz"], 2).alias("mz"), F.round(x["rel"], 3).alias("rel"))))
+
+
+def _cell_keys(reps: DataFrame) -> DataFrame:
+    """(cell, k): the cells of each spectrum (k, p); copies share at least one.
+
+    A cell is the strongest peak's m/z and the next three relative intensities. Where there is no third
+    peak, the second one's m/z is part of it too, so that spectra of two peaks don't all meet.
+    """
+    near = lambda rel: F.filter("p", lambda x: F.abs(x["rel"] - rel) <= 2 * REL_TOL)
+    mz_cells = lambda peaks: F.array_distinct(F.flatten(F.transform(peaks, lambda x: _cells(x["mz"], MZ_CELL, MZ_TOL))))
+    strongest = mz_cells(F.filter("p", lambda x: x["rel"] >= 1 - REL_TOL))
+    second = mz_cells(near(F.coalesce(F.get("p", F.lit(1))["rel"], F.lit(0.0))))
+    keyed = reps.withColumn("c0", F.explode(strongest))
+    for rank in (1, 2, 3):
+        keyed = keyed.withColumn(f"c{rank}", F.explode(_rank_cells(F.col("p"), rank)))
+    none = F.array(F.lit(None).cast("bigint"))
+    keyed = keyed.withColumn("c4", F.explode(F.when((F.col("c2") == -1) & (F.col("c1") != -1), second).otherwise(none)))
+    return keyed.select(F.xxhash64("c0", "c1", "c2", "c3", F.coalesce("c4", F.lit(-1))).alias("cell"), "k").distinct()
+
+
+def _pairs_in_cells(cells: DataFrame, heavy: int) -> DataFrame:
+    """(a, b), a < b: all pairs of keys that share a cell, each once.
+
+    A cell of more than ``heavy`` keys is split: each of its parts meets the whole cell, so that a task
+    has a part's comparisons and no pair is lost.
+    """
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = cells.join(sizes, "cell").withColumn("parts", F.ceil(F.col("n") / heavy).cast("int"))
+    a = sized.select("cell", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), F.col("k").alias("a"))
+    b = sized.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("k").alias("b"))
+    return a.join(b, ["cell", "part"]).where("a < b").select("a", "b").distinct()
+
+
+def _by_serial(rows: DataFrame) -> DataFrame:
+    """(u, v): each row without usable peaks with the least row of its serial and contributor whose precursor agrees.
+
+    Rows with peaks come before rows without. What a serial offers is aggregated by precursor first, and a row
+    asks only for the neighbouring precursors, so a serial that is repeated often isn't joined with itself.
+    """
+    named = rows.where("serial <> '' and owner is not null").select("k", "serial", "owner", "precursor", F.col("print").isNotNull().alias("full"))
+    least = [F.min(F.when(F.col("full"), F.col("k"))).alias("full_k"), F.min("k").alias("any_k")]
+    at = lambda value: F.floor(value * 100)
+    by_value = named.groupBy("serial", "owner", "precursor").agg(*least).withColumn("cell", F.coalesce(at(F.col("precursor")), F.lit(-1)))
+    whole = named.groupBy("serial", "owner").agg(*least).select("serial", "owner", F.lit(None).cast("double").alias("precursor"), "full_k", "any_k", F.lit(-2).cast("bigint").alias("cell"))
+    offers = by_value.select(*whole.columns).unionByName(whole)
+    mine = at(F.col("vp"))
+    asked = F.when(F.col("vp").isNull(), F.array(F.lit(-2).cast("bigint"))).otherwise(F.array(mine - 1, mine, mine + 1, F.lit(-1).cast("bigint")))
+    bare = named.where("not full").select(F.col("k").alias("v"), "serial", "owner", F.col("precursor").alias("vp")).withColumn("cell", F.explode(asked))
+    agrees = F.col("precursor").isNull() | F.col("vp").isNull() | (F.abs(F.col("vp") - F.col("precursor")) < 0.01)
+    found = bare.join(offers, ["serial", "owner", "cell"]).where(agrees).groupBy("v").agg(F.coalesce(F.min("full_k"), F.min("any_k")).alias("u"))
+    return found.where("u <> v").select("u", "v")
+
+
+def measurement_groups(df: DataFrame, key: str = "row_id", peaks: str = "peaks_raw", record_id: str = "spectrum_id", owner: str = "contributor_id", precursor: str = "precursor_mz", *, heavy: int = HEAVY, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(key, group): rows of one measurement share the group, its least key. Every row of ``df`` comes out once.
 
-    Exact copies (equal peaks after rounding) fall into one class first, so a heap of copies is one
-    candidate. A row without usable peaks is linked by its record's serial within its contributor,
-    where precursors agree; without a serial it stands alone. Keys must be unique and not null.
+    Exact copies (equal peaks after rounding) are linked to the least of them, so a heap of copies is one
+    candidate; the fingerprint only brings them together, the peaks decide, and a row that shares a
+    fingerprint without being equal is a candidate of its own. Candidates meet by their cells as bare ids;
+    peaks are fetched for the pairs that are left. A row without usable peaks is linked by its record's
+    serial within its contributor, where precursors agree; without a serial it stands alone. Keys must be unique and not null.
     """
-    rows = df.select(F.col(key).alias("k"), usable_peaks(F.col(peaks)).alias("p"), F.upper(F.regexp_extract(F.upper(F.col(record_id)), r"([A-Z]{2}[0-9]{9})(?![0-9])", 1)).alias("serial"), F.col(owner).alias("owner"), F.col(precursor).alias("precursor"))
-    rows = rows.withColumn("print", F.when(F.size("p") >= 2, F.xxhash64(F.array_sort(F.transform("p", lambda x: F.struct(F.round(x["mz"], 2).alias("mz"), F.round(x["rel"], 3).alias("rel")))))))
-    rows = cut(rows)
-    # one representative per print: the hash only groups, the peaks decide (in another print class nothing is assumed)
-    classes = rows.where("print is not null").groupBy("print").agg(F.min_by(F.struct("k", "p"), "k").alias("r"), F.count(F.lit(1)).alias("n"))
-    reps = classes.select(F.col("r.k").alias("k"), F.col("r.p").alias("p"))
-    members = rows.where("print is not null").join(classes.select("print", F.col("r.k").alias("rep")), "print").where("k <> rep").select(F.col("rep").alias("u"), F.col("k").alias("v"))
-    strongest = F.array_distinct(F.flatten(F.transform(F.filter("p", lambda x: x["rel"] >= 1 - REL_TOL), lambda x: _cells(x["mz"], MZ_CELL, MZ_TOL))))
-    keyed = reps.withColumn("c0", F.explode(strongest)).withColumn("c1", F.explode(_rank_cells(F.col("p"), 1))).withColumn("c2", F.explode(_rank_cells(F.col("p"), 2))).withColumn("c3", F.explode(_rank_cells(F.col("p"), 3)))
-    cells = keyed.select(F.xxhash64("c0", "c1", "c2", "c3").alias("cell"), "k", "p")
-    a, b = cells.select("cell", F.col("k").alias("ak"), F.col("p").alias("ap")), cells.select("cell", F.col("k").alias("bk"), F.col("p").alias("bp"))
-    links = a.join(b, "cell").where((F.col("ak") < F.col("bk")) & same_spectrum(F.col("ap"), F.col("bp"))).select(F.col("ak").alias("u"), F.col("bk").alias("v"))
-    # rows without usable peaks: each to the least row with peaks of its serial and contributor
-    named = rows.where("serial <> '' and owner is not null").select("k", "serial", "owner", "precursor", "print")
-    bare = named.where("print is null").select(F.col("k").alias("v"), "serial", "owner", F.col("precursor").alias("vp"))
-    near = F.col("vp").isNull() | F.col("precursor").isNull() | (F.abs(F.col("vp") - F.col("precursor")) < 0.01)
-    by_serial = bare.join(named, ["serial", "owner"]).where(near & (F.col("k") != F.col("v"))).groupBy("v").agg(F.coalesce(F.min(F.when(F.col("print").isNotNull(), F.col("k"))), F.min("k")).alias("u")).select("u", "v")
-    components = connected_components(members.unionByName(links).unionByName(by_serial))
+    serial = F.upper(F.regexp_extract(F.upper(F.col(record_id)), r"([A-Z]{2}[0-9]{9})(?![0-9])", 1))
+    rows = df.select(F.col(key).alias("k"), usable_peaks(F.col(peaks)).alias("p"), serial.alias("serial"), F.col(owner).alias("owner"), F.col(precursor).cast("double").alias("precursor"))
+    rows = cut(rows.withColumn("print", F.when(F.size("p") >= 2, fingerprint(rounded(F.col("p"))))))
+    spectra = rows.where("print is not null").select("k", "p")
+    # copies: fingerprints that stand more than once, as ids
+    prints = rows.where("print is not null").select("k", "print")
+    heads = prints.groupBy("print").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    alike = prints.join(heads, "print").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
+    equal = lambda x, y: rounded(x) == rounded(y)
+    members = cut(_compared(alike, spectra, equal))
+    reps = spectra.join(members.select(F.col("b").alias("k")), "k", "left_anti")
+    links = _compared(_pairs_in_cells(_cell_keys(reps), heavy), spectra, same_spectrum)
+    edges = members.unionByName(links).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_by_serial(rows.drop("p")))
+    components = connected_components(edges)
     return rows.select("k").join(components.withColumnRenamed("node", "k"), "k", "left").select(F.col("k").alias(key), F.coalesce("component", "k").alias("group"))
 
 
-def survivors(df: DataFrame, group: str, fields: Sequence[str], *, source: str = "source", at: str = "retrieved_at", key: str = "row_id", trust: Sequence[str] = TRUST) -> DataFrame:
-    """One record per group: (group, n_rows, n_sources, *fields).
+def _compared(pairs: DataFrame, spectra: DataFrame, same: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) whose peaks are the same. Only the pairs' own peaks are fetched."""
+    first, second = spectra.select(F.col("k").alias("a"), F.col("p").alias("ap")), spectra.select(F.col("k").alias("b"), F.col("p").alias("bp"))
+    return pairs.join(first, "a").join(second, "b").where(same(F.col("ap"), F.col("bp"))).select("a", "b")
+
+
+def survivors(df: DataFrame, groups: DataFrame, fields: Sequence[str], *, source: str = "source", at: str = "retrieved_at", key: str = "row_id", trust: Sequence[str] = TRUST) -> DataFrame:
+    """One record per group of ``groups`` (key, group), named by the group: (group, n_rows, n_sources, *fields).
+
+    A group of one row must be named by its key (as ``measurement_groups`` does), and comes out as it is.
 
     Each field is the ``max`` of the struct (filled in, trust in the source, time, key, value): one
     aggregation, combined on the map side, so a hot group is folded where its rows lie. Blank texts and
     stand-ins ("n/a", "-", "unknown", "not recorded", "see title") count as not filled in but survive where
     there is nothing else; arrays are the better the longer; ties go to the greater key. A null or unlisted source is the least trusted.
     """
-    rank = F.coalesce(F.element_at(F.create_map(*[x for i, s in enumerate(trust) for x in (F.lit(s), F.lit(len(trust) - i))]), F.coalesce(F.col(source), F.lit(""))), F.lit(0))
+    # groups of one row are that row: only larger ones are aggregated
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    shared = groups.join(sizes, "group").select(key, F.col("group").alias("__group"))
+    rows = df.join(shared, key, "left")
+    n_sources = F.col(source).isNotNull().cast("bigint")
+    alone = rows.where("__group is null").select(F.col(key).alias("group"), F.lit(1).cast("bigint").alias("n_rows"), n_sources.alias("n_sources"), *fields)
+    ranked = {s: len(trust) - i for i, s in enumerate(trust)}
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ranked.items() for x in pair]), F.coalesce(F.col(source), F.lit(""))), F.lit(0))
     types = dict(df.dtypes)
 
     def filled(c: str) -> Column:
         if types[c] == "string":
-            blank = F.lower(F.regexp_replace(F.col(c), r"^[\s\u00a0\u200b]+|[\s\u00a0\u200b]+$", "")).isin("", "-", "?", "n/a", "na", "n.d.", "none", "null", "unknown", "not recorded", "not given", "see title", "see methods", "tbd")
-            return F.when(F.col(c).isNull(), 0).when(blank, 1).otherwise(2)
+            bare = F.lower(F.regexp_replace(F.col(c), r"^[\s\u00a0\u200b]+|[\s\u00a0\u200b]+$", ""))
+            return F.when(F.col(c).isNull(), 0).when(bare.isin(*STAND_INS), 1).otherwise(2)
         if types[c].startswith("array"):
             return F.coalesce(F.size(c), F.lit(-1))
         return F.col(c).isNotNull().cast("int")
 
-    # arrays aren't orderable with nulls inside maps, but arrays of comparable items are: value stays last
-    best = [F.max(F.struct(filled(c).alias("filled"), rank.alias("trust"), F.col(at).alias("at"), F.col(key).alias("key"), F.col(c).alias("value")))["value"].alias(c) for c in fields]
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(source).alias("n_sources"), *best)
+    order = lambda c: F.struct(filled(c).alias("filled"), rank.alias("trust"), F.col(at).alias("at"), F.col(key).alias("key"), F.col(c).alias("value"))
+    best = [F.max(order(c))["value"].alias(c) for c in fields]
+    many = rows.where("__group is not null").groupBy(F.col("__group").alias("group")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(source).alias("n_sources"), *best)
+    return alone.unionByName(many)

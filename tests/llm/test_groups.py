@@ -167,7 +167,37 @@ def test_survivors_field_by_field(spark):
         (5, 20, None, "2024-01-01", "-", None, None, None), (6, 20, None, "2024-01-01", "-", None, None, None),
     ]
     df = spark.createDataFrame(rows, "row_id bigint, g bigint, source string, at string, name string, lang string, peaks array<int>, mass double").withColumn("retrieved_at", F.to_timestamp("at"))
-    got = {r["g"]: r for r in survivors(df, "g", ["name", "lang", "peaks", "mass"]).collect()}
+    groups = df.select("row_id", F.col("g").alias("group"))
+    got = {r["group"]: r for r in survivors(df, groups, ["name", "lang", "peaks", "mass"]).collect()}
     assert (got[10]["name"], got[10]["lang"], got[10]["peaks"], got[10]["mass"], got[10]["n_rows"], got[10]["n_sources"]) == ("PC", "en", [1, 2], 7.0, 4, 3)
     assert (got[20]["name"], got[20]["lang"], got[20]["n_rows"], got[20]["n_sources"]) == ("-", None, 2, 0)
-    assert survivors(df.where("false"), "g", ["name"]).count() == 0
+    assert survivors(df.where("false"), groups.where("false"), ["name"]).count() == 0
+    alone = survivors(df.where("row_id = 3"), df.where("row_id = 3").select("row_id", F.col("row_id").alias("group")), ["name", "mass"]).collect()
+    assert [tuple(r) for r in alone] == [(3, 1, 1, None, 7.0)]
+
+
+SPECTRA = "row_id bigint, peaks_raw array<array<double>>, spectrum_id string, contributor_id int, precursor_mz double"
+
+
+def test_equal_fingerprints_of_unequal_spectra(spark):
+    a, b = [[100.1, 50.0], [200.2, 999.0], [300.3, 400.0]], [[110.1, 70.0], [210.2, 999.0], [310.3, 500.0]]
+    df = spark.createDataFrame([(1, a, None, None, None), (2, b, None, None, None), (3, a, None, None, None), (4, b, None, None, None)], SPECTRA)
+    got = {r["row_id"]: r["group"] for r in measurement_groups(df, fingerprint=lambda p: F.lit(7).cast("bigint")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+def test_a_cell_that_holds_most_rows(spark):
+    # 300 spectra of two peaks with one strongest m/z and one relative intensity; some are copies in other precision
+    rows = [(i, [[184.0731, 999.0], [700.0 + 0.02 * (i // 3), 400.0 + (0.1 if i % 3 else 0.0)]], None, None, None) for i in range(300)]
+    df = spark.createDataFrame(rows, SPECTRA)
+    want = {i: i - i % 3 for i in range(300)}
+    for heavy in (7, 1000):
+        assert {r["row_id"]: r["group"] for r in measurement_groups(df, heavy=heavy).collect()} == want
+
+
+def test_a_serial_that_is_repeated(spark):
+    base = spectrum(random.Random(1), 6)
+    rows = [(0, base, "X-AB000000001", 1, 500.0), *[(i, None, "X-AB000000001", 1, 500.0 + 0.002 * (i % 3)) for i in range(1, 40)]]
+    rows += [(50, None, "X-AB000000001", 1, 600.0), (51, None, "X-AB000000001", 2, 500.0), (52, None, "X-AB000000002", None, 500.0), (60, base[:4], "X-AB000000003", 1, 500.0), (61, None, "X-AB000000003", 1, None)]
+    got = {r["row_id"]: r["group"] for r in measurement_groups(spark.createDataFrame(rows, SPECTRA)).collect()}
+    assert all(got[i] == 0 for i in range(40)) and (got[50], got[51], got[52], got[61]) == (50, 51, 52, 60)
