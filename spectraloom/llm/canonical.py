@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -47,26 +48,37 @@ class Trie:
         node[1].add(label)
 
     def search(self, text: str, limit: int) -> list[tuple[int, int]]:
-        """(distance, label) of every entry within ``limit``, the nearest first."""
-        # cost of typed characters that must not be inserted: digits are rigid in the typed value as well
+        """(distance, label) of every entry within ``limit``, the nearest first.
+
+        Only the cells within ``limit`` of the diagonal can be within it, so only those are advanced.
+        """
         far = limit + 1
         n = len(text)
+        # typed characters that must not be inserted or replaced: digits are rigid in the typed value as well
         rigid = [c.isdigit() or c >= RIGID for c in text]
-        first = [0] * (n + 1)
-        for i in range(1, n + 1):
-            first[i] = far if rigid[i - 1] else min(far, first[i - 1] + 1)
+        first = [0] + [far] * n
+        for i in range(1, min(n, limit) + 1):
+            if rigid[i - 1]:
+                break
+            first[i] = i
         best: dict[int, int] = {}
 
-        def walk(node: tuple[dict, set], row: list[int], before: list[int] | None, last: str) -> None:
+        def walk(node: tuple[dict, set], depth: int, row: list[int], before: list[int] | None, last: str) -> None:
             if node[1] and row[n] <= limit:
                 for label in node[1]:
                     best[label] = min(best.get(label, far), row[n])
+            depth += 1
+            low_i, high_i = max(1, depth - limit), min(n, depth + limit)
+            if low_i > n:
+                return
             for ch, child in node[0].items():
                 hard = ch.isupper() or ch.isdigit() or ch >= RIGID
                 low = ch.lower()
-                new = [far if hard else min(far, row[0] + 1)]
+                new = [far] * (n + 1)
+                if not hard and depth <= limit:
+                    new[0] = min(far, row[0] + 1)
                 least = new[0]
-                for i in range(1, n + 1):
+                for i in range(low_i, high_i + 1):
                     t = text[i - 1]
                     if t == low:
                         d = row[i - 1]
@@ -78,15 +90,14 @@ class Trie:
                         d = new[i - 1] + 1
                     if before is not None and i > 1 and not hard and t == last and text[i - 2] == low and t != low and not t.isdigit() and before[i - 2] + 1 < d:
                         d = before[i - 2] + 1
-                    if d > far:
-                        d = far
-                    new.append(d)
-                    if d < least:
-                        least = d
+                    if d < far:
+                        new[i] = d
+                        if d < least:
+                            least = d
                 if least <= limit:
-                    walk(child, new, row if not hard else None, low)
+                    walk(child, depth, new, row if not hard else None, low)
 
-        walk(self.root, first, None, "")
+        walk(self.root, 0, first, None, "")
         return sorted((d, label) for label, d in best.items())
 
 
@@ -115,13 +126,33 @@ class Matcher:
     def accept(self, form: str, label: int, distance: int) -> bool:
         return True
 
+    def within(self, form: str) -> list[tuple[int, int]]:
+        """(distance, entry) of all entries within the bound of the form's length, the nearest first."""
+        return [(d, e) for d, e in self.trie.search(form, bound(len(form))) if self.accept(form, e, d)]
+
+    def nearest(self, form: str) -> list[tuple[int, int]]:
+        """``within`` up to the least distance at which there is an entry: most values need no search beyond it."""
+        for limit in range(bound(len(form)) + 1):
+            found = [(d, e) for d, e in self.trie.search(form, limit) if self.accept(form, e, d)]
+            if found:
+                return found
+        return []
+
+    def candidates(self, text: str) -> list[tuple[int, int]]:
+        """(distance, entry) of all entries within the bound of any reading of the value."""
+        best: dict[int, int] = {}
+        for form in filter(None, self.forms(text)):
+            for d, e in self.within(form):
+                best[e] = min(d, best.get(e, d))
+        return sorted((d, e) for e, d in best.items())
+
     def _lookup(self, text: str) -> tuple[int, int, int]:
         """(entry or 0, distance or -1, number of entries at that distance)."""
         ties = 0
         for form in self.forms(text):
             if not form:
                 continue
-            found = [(d, e) for d, e in self.trie.search(form, bound(len(form))) if self.accept(form, e, d)]
+            found = self.nearest(form)
             if found:
                 near = {e for d, e in found if d == found[0][0]}
                 if len(near) == 1:
@@ -152,8 +183,17 @@ class ClassMatcher(Matcher):
             return []
         return ["".join(re.findall(r"[^\W_]+", t))]
 
+    TWICE = re.compile(r"\s*([^()\[\]]+?)\s*[(\[]([^()\[\]]+)[)\]]\s*")
+
+    def candidates(self, text: str) -> list[tuple[int, int]]:
+        m = self.TWICE.fullmatch(plain(text))
+        if not m:
+            return super().candidates(text)
+        a, b = ({e: d for d, e in super(ClassMatcher, self).candidates(p)} for p in m.groups())
+        return sorted((max(a[e], b[e]), e) for e in a.keys() & b.keys())
+
     def _lookup(self, text: str) -> tuple[int, int, int]:
-        m = re.fullmatch(r"\s*([^()\[\]]+?)\s*[(\[]([^()\[\]]+)[)\]]\s*", plain(text))
+        m = self.TWICE.fullmatch(plain(text))
         if not m:
             return super()._lookup(text)
         parts = [super(ClassMatcher, self)._lookup(p) for p in m.groups()]
@@ -287,34 +327,45 @@ class NameMatcher(Matcher):
             t = cut
         return [t.strip("\"'`*“”„ .,;")]
 
-    def _lookup(self, text: str) -> tuple[int, int, int]:
+    def readings(self, text: str) -> tuple[tuple | None, str, list[str]]:
+        """The shorthand parts of a value, or else its form and long words."""
         (t,) = self.forms(text)
         short = self.shorthand(t)
+        words = [] if short else self.systematic(t)
+        return short, "".join(words), [w for w in words if len(w) > 4]
+
+    def _lookup(self, text: str) -> tuple[int, int, int]:
+        short, form, typed = self.readings(text)
+        for limit in range(bound(len(form)) + 1 if not short else 1):
+            found = self.search_short(*short) if short else [(d, e) for d, e in self.trie.search(form, limit) if self.accept_words(typed, e)]
+            if found:
+                near = {e for d, e in found if d == found[0][0]}
+                return (near.pop(), found[0][0], 1) if len(near) == 1 else (0, -1, len(near))
+        return 0, -1, 0
+
+    def candidates(self, text: str) -> list[tuple[int, int]]:
+        short, form, typed = self.readings(text)
         if short:
-            return self.lookup_short(*short)
-        words = self.systematic(t)
-        form = "".join(words)
-        typed = [w for w in words if len(w) > 4]
-        found = [(d, e) for d, e in self.trie.search(form, bound(len(form))) if self.accept_words(typed, e)]
-        if not found:
-            return 0, -1, 0
-        near = {e for d, e in found if d == found[0][0]}
-        return (near.pop(), found[0][0], 1) if len(near) == 1 else (0, -1, len(near))
-
-    def lookup_short(self, head: str, chains: list[str], join: str, words: list[str], bare: bool) -> tuple[int, int, int]:
+            return self.search_short(*short)
+        return [(d, e) for d, e in self.trie.search(form, bound(len(form))) if self.accept_words(typed, e)]
+
+    def search_short(self, head: str, chains: list[str], join: str, words: list[str], bare: bool) -> list[tuple[int, int]]:
+        """(distance, entry) of the entries with these chains whose class word is within the bound."""
         found = self.short.search(self.chain_path(chains) + head, 0)
         if not found and head not in self.STEMS.values() and head[1:] not in self.STEMS.values():
             # numbers and words of one or two letters besides the class ("d7", "o") aren't misspellings of it
             if all(len(w) > 2 or w in self.STEMS.values() or w[1:] in self.STEMS.values() for w in words if w.isalpha()) and not any(w.isdigit() for w in words):
                 word = "".join(words)
                 found = self.short.search(self.chain_path(chains, bare) + word, bound(len(word)))
-        hits: set[int] = set()
+        best: dict[int, int] = {}
         for d, at in found:
-            if d == found[0][0]:
-                name, ordered = self.shorts[at]
-                listed = self.listed.get(name + join.join(chains), set())
-                hits |= listed if join == "/" else listed or self.open_order[name, ordered]
-        return (min(hits), found[0][0], 1) if len(hits) == 1 else (0, -1, len(hits))
+            name, ordered = self.shorts[at]
+            listed = self.listed.get(name + join.join(chains), set())
+            for e in listed if join == "/" else listed or self.open_order[name, ordered]:
+                best[e] = min(d, best.get(e, d))
+        nearest = sorted((d, e) for e, d in best.items())
+        # a nearer class whose chains stand in another order hides the farther ones
+        return nearest if nearest and nearest[0][0] == found[0][0] else []
 
     def accept_words(self, typed: list[str], label: int) -> bool:
         """A rightly spelled word of the list that the entry doesn't have at that place names another thing."""
@@ -328,36 +379,76 @@ class NameMatcher(Matcher):
         return any(agrees(words) for words in self.words_of[label])
 
 
-SCHEMA = "row_id bigint, field string, typed string, ref_id int, distance int, ties int"
+#: Matchers of this worker by the id of their broadcast lists: built once in a worker process, whatever the number of its tasks.
+_BUILT: dict[str, dict[str, Matcher]] = {}
 
+VALUES = "field string, typed string, ref_id int, distance int, ties int"
+CANDIDATES = "field string, typed string, ref_id int, distance int"
 
-def match_values(df: DataFrame, key: str, matchers: dict[str, tuple[type[Matcher], list[tuple]]], exact: dict[str, dict[str, int]]) -> DataFrame:
-    """One row per non-null typed value: (row_id, field, typed, ref_id, distance, ties).
 
-    ``matchers`` has, by field, the matcher's class and its reference rows; ``exact`` the entries' own
-    spellings, which are distance 0 without a search. ``ref_id`` is 0 where a value stands for no
-    single entry (``ties`` then counts the entries that come equally near). Rows are mapped where they
-    are read: no shuffle, and a value that fills a third of the rows is searched once per worker.
-    Reference lists travel with the task, so they must be small (``reference_rows`` checks).
-    """
-    fields = list(matchers)
+def typed_values(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(row_id, field, typed): one row per non-null value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("typed")) for f in fields]))
+    return df.select(F.col(key).cast("bigint").alias("row_id"), pairs.alias("p")).select("row_id", "p.*").where("typed is not null")
+
+
+def _searched(values: DataFrame, lists: dict[str, tuple[type[Matcher], list[tuple]]], schema: str, answer: Callable[[str, Matcher, str], list[tuple]]) -> DataFrame:
+    """``answer`` of each (field, typed) row. The lists are one broadcast of a checked size (``reference_rows``)."""
+    shared, name = values.sparkSession.sparkContext.broadcast(lists), uuid.uuid4().hex
 
     def make():
-        built = {f: cls(rows) for f, (cls, rows) in matchers.items()}
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = {f: cls(rows) for f, (cls, rows) in shared.value.items()}
+        built = _BUILT[name]
 
         def step(columns: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {c: [] for c in ("row_id", "field", "typed", "ref_id", "distance", "ties")}
-            for f in fields:
-                for k, value in zip(columns["k"], columns[f]):
-                    if value is not None:
-                        found = (exact[f][value], 0, 1) if value in exact[f] else built[f].lookup(value)
-                        for c, x in zip(out, (k, f, value, *found)):
-                            out[c].append(x)
-            return out
+            rows = [(f, t, *x) for f, t in zip(columns["field"], columns["typed"]) for x in answer(f, built[f], t)]
+            return {c: [x[i] for x in rows] for i, c in enumerate(names)}
 
         return step
 
-    return map_columns(df.select(F.col(key).cast("bigint").alias("k"), *[F.col(f).cast("string").alias(f) for f in fields]), make, SCHEMA)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return map_columns(values.select("field", "typed"), make, schema)
+
+
+def distinct_values(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(field, typed, n_rows): each typed value once, with how often it stands. Counts are combined where the rows lie."""
+    return typed_values(df, key, fields).groupBy("field", "typed").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def match_distinct(values: DataFrame, matchers: dict[str, tuple[type[Matcher], list[tuple]]]) -> DataFrame:
+    """(field, typed, ref_id, distance, ties) of distinct (field, typed) rows.
+
+    ``matchers`` has, by field, the matcher's class and its reference rows: number, name, and what else it takes. ``ref_id``
+    is 0 where a value stands for no single entry (``ties`` then counts the entries that come equally near).
+    An entry's own spelling is that entry, even where other entries read alike.
+    """
+    exact = {f: {r[1]: r[0] for r in rows} for f, (_, rows) in matchers.items()}
+    own = values.sparkSession.sparkContext.broadcast(exact)
+
+    def answer(field: str, matcher: Matcher, text: str) -> list[tuple]:
+        entry = own.value[field].get(text)
+        return [(entry, 0, 1) if entry is not None else matcher.lookup(text)]
+
+    return _searched(values, matchers, VALUES, answer)
+
+
+def match_values(df: DataFrame, key: str, matchers: dict[str, tuple[type[Matcher], list[tuple]]]) -> DataFrame:
+    """One row per non-null typed value: (row_id, field, typed, ref_id, distance, ties).
+
+    Each distinct value is searched once and joined back to its rows. The distinct values are counted
+    where the rows lie, and the join's exchange lets adaptive execution split the partition of a value
+    that fills a third of the rows.
+    """
+    rows = typed_values(df, key, list(matchers))
+    found = match_distinct(rows.groupBy("field", "typed").agg(F.lit(1).alias("one")), matchers)
+    return rows.join(found, ["field", "typed"]).select("row_id", "field", "typed", "ref_id", "distance", "ties")
+
+
+def match_candidates(values: DataFrame, matchers: dict[str, tuple[type[Matcher], list[tuple]]]) -> DataFrame:
+    """(field, typed, ref_id, distance): every entry within the bound of each distinct value; a value without any has no row."""
+    return _searched(values, matchers, CANDIDATES, lambda _, m, t: [(e, d) for d, e in m.candidates(t)])
 
 
 def reference_rows(df: DataFrame, *columns: str, most: int = 100_000) -> list[tuple]:

@@ -62,15 +62,17 @@ def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(pilot, cut(_measurements(spark, sf_dir)), fields).withColumnRenamed("group", "measurement_id")
 
 
-def _matched(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
+def _lists(spark: SparkSession, sf_dir: str, fields: list[str]) -> dict[str, tuple]:
     lists = {
         "name": (NameMatcher, reference_rows(table(spark, sf_dir, "compound_reference"), "ref_id", "name", "abbreviation", "synonyms")),
         "lipid_class": (ClassMatcher, reference_rows(table(spark, sf_dir, "lipid_classes"), "class_id", "lipid_class", "class_name", "synonyms")),
         "instrument": (InstrumentMatcher, reference_rows(table(spark, sf_dir, "instruments"), "instrument_id", "instrument", "maker")),
     }
-    chosen = {f: lists[f] for f in fields}
-    exact = {f: {r[1]: r[0] for r in rows} for f, (_, rows) in chosen.items()}
-    return match_values(table(spark, sf_dir, "experimental_ms2_pilot"), "row_id", chosen, exact)
+    return {f: lists[f] for f in fields}
+
+
+def _matched(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
+    return match_values(table(spark, sf_dir, "experimental_ms2_pilot"), "row_id", _lists(spark, sf_dir, fields))
 
 
 FIELDS = ["name", "lipid_class", "instrument"]
@@ -86,7 +88,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values that stand for no single entry, with how often they were typed and how many entries come equally near."""
-    return _matched(spark, sf_dir, FIELDS).where("ref_id = 0").groupBy("field", "typed").agg(F.count(F.lit(1)).alias("n_rows"), F.max("ties").alias("ties"))
+    values = distinct_values(table(spark, sf_dir, "experimental_ms2_pilot"), "row_id", FIELDS)
+    found = match_distinct(values, _lists(spark, sf_dir, FIELDS)).where("ref_id = 0")
+    return found.join(values, ["field", "typed"]).select("field", "typed", "n_rows", "ties")
+
+
+def p5_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry within the bound of each distinct typed value, with its distance."""
+    values = distinct_values(table(spark, sf_dir, "experimental_ms2_pilot"), "row_id", FIELDS)
+    return match_candidates(values, _lists(spark, sf_dir, FIELDS))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +143,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p2_found": p2_found, "p2_splits": p2_splits, "p2_balance": p2_balance, "p3_found": p3_found, "p3_survivors": p3_survivors, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p5_candidates": p5_candidates,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_epoch_shares": p7_epoch_shares, "p8_found": p8_found, "p8_composition": p8_composition,
 }
 SQL = {

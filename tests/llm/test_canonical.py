@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from spectraloom.llm.canonical import ClassMatcher, InstrumentMatcher, NameMatcher, Trie, bound, match_values
+from spectraloom.llm.canonical import ClassMatcher, InstrumentMatcher, NameMatcher, Trie, bound, distinct_values, match_candidates, match_values
 
 
 def osa(a, b):
@@ -83,6 +83,16 @@ def test_bound_grows():
 def test_rows(spark):
     rows = [(1, "PC", "x"), (2, " pc ", "y"), (3, None, None), (4, "what", "z"), (4, "what", "z")]
     df = spark.createDataFrame(rows, "row_id bigint, lipid_class string, field string")
-    out = match_values(df, "row_id", {"lipid_class": (ClassMatcher, CLASSES)}, {"lipid_class": {"PC": 1}})
+    out = match_values(df, "row_id", {"lipid_class": (ClassMatcher, CLASSES)})
     assert sorted((r["row_id"], r["typed"], r["ref_id"]) for r in out.collect()) == [(1, "PC", 1), (2, " pc ", 1), (4, "what", 0), (4, "what", 0)]
-    assert match_values(df.where("false"), "row_id", {"lipid_class": (ClassMatcher, CLASSES)}, {"lipid_class": {}}).count() == 0
+    assert match_values(df.where("false"), "row_id", {"lipid_class": (ClassMatcher, CLASSES)}).count() == 0
+
+
+def test_candidates_within_the_bound(spark):
+    names = NameMatcher([(1, "1-stearoyl-glycerol", None, None), (2, "1-stearoxl-glycerol", None, None), (3, "2-stearoyl-glycerol", None, None)])
+    assert names.candidates("1-stearoyl-glycerol") == [(0, 1)] and names.candidates("1-stearoil-glycerol") == [(1, 1), (1, 2)] and names.lookup("1-stearoil-glycerol") == (0, -1, 2)
+    df = spark.createDataFrame([(1, "PHOSPHATDIYLCHOLINE"), (2, "PHOSPHATDIYLCHOLINE"), (3, "TAG"), (4, None)], "row_id bigint, lipid_class string")
+    values = distinct_values(df, "row_id", ["lipid_class"])
+    assert sorted((r["typed"], r["n_rows"]) for r in values.collect()) == [("PHOSPHATDIYLCHOLINE", 2), ("TAG", 1)]
+    got = match_candidates(values, {"lipid_class": (ClassMatcher, CLASSES)}).collect()
+    assert [tuple(r) for r in got] == [("lipid_class", "PHOSPHATDIYLCHOLINE", 1, 1)]
