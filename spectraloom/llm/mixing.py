@@ -11,19 +11,16 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Mapping
 from dataclasses import dataclass
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Domains of sources (a parameter); a source without one is a domain of its own.
-DOMAINS = {
-    "lab_notebook": "laboratory", "protocol_wiki": "laboratory", "manual": "laboratory", "safety_sheet": "laboratory",
-    "forum": "exchange", "issue_tracker": "exchange", "helpdesk": "exchange", "interview": "exchange", "newsletter": "exchange",
-    "preprint": "print", "review_letter": "print", "textbook": "print", "licence_note": "print",
-}
 #: Spellings of languages; everything else is "und".
 LANGUAGES = {"en": ["en", "eng", "english", "en-gb", "en-us", "en_gb", "en_us"], "de": ["de", "ger", "deu", "german", "deutsch", "de-de", "de_de"], "fr": ["fr", "fre", "fra", "french", "français", "francais", "fr-fr", "fr_fr"]}
 SLICES = 4096
+#: Without domains each source is a domain of its own.
+NO_DOMAINS: Mapping[str, str] = MappingProxyType({})
 
 
 @dataclass
@@ -88,7 +85,7 @@ def language(lang: Column) -> Column:
     return F.coalesce(F.element_at(known, F.coalesce(F.lower(F.trim(lang)), F.lit(""))), F.lit("und"))
 
 
-def plan_leaves(sizes: list[tuple[str, str, int]], targets: list[tuple[str, float, int]], domains: Mapping[str, str] = DOMAINS) -> list[Leaf]:
+def plan_leaves(sizes: list[tuple[str, str, int]], targets: list[tuple[str, float, int]], domains: Mapping[str, str] = NO_DOMAINS) -> list[Leaf]:
     """The leaves of a plan: a source's weight falls to its languages by their tokens.
 
     A source without tokens keeps its weight in a leaf without capacity, in the languages of its
@@ -134,32 +131,43 @@ def exact_total(leaves: list[Leaf]) -> float:
     return low
 
 
-def mix(sized: DataFrame, targets: DataFrame, *, key: str = "doc_id", total_tokens: int | None = None, policy: str = "one_epoch", seed: int = 20260626, domains: Mapping[str, str] = DOMAINS, most_targets: int = 10_000) -> DataFrame:
-    """(mix_plan, key, source, language, n_tokens, n_used) of every document that a plan uses.
+def planned(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, totals: Mapping[str, int] | None = None, policy: str = "one_epoch", domains: Mapping[str, str] = NO_DOMAINS, most_targets: int = 10_000) -> dict[str, list[Leaf]]:
+    """The leaves of each plan with their budgets.
 
-    ``sized`` has key, source, lang and n_tokens; it is read twice, so it should be written or
-    checkpointed. ``total_tokens`` is the corpus size of each plan; None takes, by ``policy``, the
-    plan's tokens at hand ("one_epoch") or the greatest size that leaves no source short ("exact").
-    Documents without tokens or without a source in the plan aren't used. The driver sees one row per
-    plan, source and language: a targets table of more than ``most_targets`` rows is refused.
+    ``totals`` has the corpus size in tokens of single plans, ``total_tokens`` that of all others; None
+    takes, by ``policy``, the plan's tokens at hand ("one_epoch") or the greatest size that leaves no source short ("exact").
+    The driver sees one row per source and language that a plan names: a targets table of more than ``most_targets`` rows is refused.
     """
-    spark = sized.sparkSession
-    docs = sized.where("n_tokens > 0 and source is not null").select(F.col(key).alias("k"), "source", language(F.col("lang")).alias("language"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
     plans: dict[str, list[tuple[str, float, int]]] = defaultdict(list)
     rows = targets.select("mix_plan", "source", "target_share", "max_repeats").where("mix_plan is not null and source is not null").limit(most_targets + 1).collect()
     if len(rows) > most_targets:
         raise ValueError(f"more than {most_targets} targets")
     for r in rows:
         plans[r["mix_plan"]].append((r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)))
-    # only sources that a plan names: at most targets x 4 languages
-    named = F.broadcast(targets.select("source").distinct())
+    named = F.broadcast(targets.select("source").distinct())  # at most most_targets rows, checked above
+    docs = sized.where("n_tokens > 0 and source is not null").select("source", language(F.col("lang")).alias("language"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
     sizes = [tuple(r) for r in docs.join(named, "source", "left_semi").groupBy("source", "language").agg(F.sum("n_tokens")).collect()]
-    table = []
+    out = {}
     for plan, wanted in sorted(plans.items()):
-        leaves = plan_leaves(sizes, wanted, domains)
-        own = {s for s, _, _ in wanted}
-        total = total_tokens if total_tokens is not None else exact_total(leaves) if policy == "exact" else sum(n for s, _, n in sizes if s in own)
-        for leaf in budgets(leaves, float(total)):
+        leaves, own = plan_leaves(sizes, wanted, domains), {s for s, _, _ in wanted}
+        total = (totals or {}).get(plan, total_tokens)
+        if total is None:
+            total = exact_total(leaves) if policy == "exact" else sum(n for s, _, n in sizes if s in own)
+        out[plan] = budgets(leaves, float(total))
+    return out
+
+
+def mix(sized: DataFrame, plans: Mapping[str, list[Leaf]], *, key: str = "doc_id", seed: int = 20260626) -> DataFrame:
+    """(mix_plan, key, source, language, n_tokens, n_used) of every document that a plan uses.
+
+    ``sized`` has key, source, lang and n_tokens; it is read again, so it should be written or
+    checkpointed. ``plans`` are those of ``planned``. Documents without tokens or without a source in the plan aren't used.
+    """
+    spark = sized.sparkSession
+    docs = sized.where("n_tokens > 0 and source is not null").select(F.col(key).alias("k"), "source", language(F.col("lang")).alias("language"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    table = []
+    for plan, leaves in plans.items():
+        for leaf in leaves:
             if leaf.tokens and leaf.budget > 0:
                 epochs = min(int(leaf.budget // leaf.tokens + 1e-9), leaf.repeats)
                 table.append((plan, leaf.source, leaf.language, epochs, leaf.budget - epochs * leaf.tokens if epochs < leaf.repeats else 0.0))
@@ -180,10 +188,25 @@ def mix(sized: DataFrame, targets: DataFrame, *, key: str = "doc_id", total_toke
     return used.select("mix_plan", F.col("k").alias(key), "source", "language", "n_tokens", "n_used")
 
 
-def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """What each source of each plan reached: (mix_plan, source, target_share, actual_share, tokens, documents, most_used, max_repeats)."""
-    by = mixed.groupBy("mix_plan", "source").agg(F.sum(F.col("n_tokens") * F.col("n_used")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("n_used").alias("most_used"))
-    total = by.groupBy("mix_plan").agg(F.sum("tokens").alias("all_tokens"))
-    out = targets.select("mix_plan", "source", "target_share", "max_repeats").join(by, ["mix_plan", "source"], "left").join(total, "mix_plan", "left")
-    return out.select("mix_plan", "source", "target_share", F.coalesce(F.round(F.col("tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
-                      F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_used", F.lit(0)).alias("most_used"), "max_repeats")
+def shares(mixed: DataFrame, targets: DataFrame, plans: Mapping[str, list[Leaf]]) -> DataFrame:
+    """What each source of each plan reached.
+
+    (mix_plan, source, target_share, planned_share, actual_share, tokens, documents, most_used, max_repeats):
+    the planned share is that of the budgets, after redistribution; the actual one differs from it by
+    less than one document in each language, as documents are used whole.
+    """
+    budget: dict[tuple[str, str], float] = defaultdict(float)
+    total: dict[str, float] = defaultdict(float)
+    for plan, leaves in plans.items():
+        for leaf in leaves:
+            budget[plan, leaf.source] += leaf.budget
+            total[plan] += leaf.budget
+    rows = [(plan, source, round(b / total[plan], 6) if total[plan] else 0.0) for (plan, source), b in budget.items()]
+    plan_df = mixed.sparkSession.createDataFrame(rows, "mix_plan string, source string, planned_share double")
+    used = F.sum(F.col("n_tokens") * F.col("n_used")).alias("tokens")
+    by = mixed.groupBy("mix_plan", "source").agg(used, F.count(F.lit(1)).alias("documents"), F.max("n_used").alias("most_used"))
+    whole = by.groupBy("mix_plan").agg(F.sum("tokens").alias("all_tokens"))
+    out = targets.select("mix_plan", "source", "target_share", "max_repeats").join(by, ["mix_plan", "source"], "left").join(whole, "mix_plan", "left").join(plan_df, ["mix_plan", "source"], "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    actual = F.coalesce(F.round(F.col("tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("actual_share")
+    return out.select("mix_plan", "source", "target_share", F.coalesce("planned_share", F.lit(0.0)).alias("planned_share"), actual, none("tokens"), none("documents"), none("most_used"), "max_repeats")

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm.bpe import encode_texts
-from spectraloom.llm.canonical import ClassMatcher, InstrumentMatcher, NameMatcher, match_values, reference_rows
-from spectraloom.llm.mixing import mix, shares
+from spectraloom.llm.canonical import ClassMatcher, InstrumentMatcher, NameMatcher, distinct_values, match_candidates, match_distinct, match_values, reference_rows
+from spectraloom.llm.mixing import mix, planned, shares
 from spectraloom.llm.splits import assign_splits, related_groups
 from spectraloom.llm.subjects import score_blocks, train, written_blocks
 from spectraloom.llm.survivors import measurement_groups, survivors
 from spectraloom.session import cut, table
 
 IDS = ["connectivity_id", "split_group_id"]
+#: Domains of the tables' sources; a source without one is a domain of its own.
+DOMAINS = {
+    "lab_notebook": "laboratory", "protocol_wiki": "laboratory", "manual": "laboratory", "safety_sheet": "laboratory",
+    "forum": "exchange", "issue_tracker": "exchange", "helpdesk": "exchange", "interview": "exchange", "newsletter": "exchange",
+    "preprint": "print", "review_letter": "print", "textbook": "print", "licence_note": "print",
+}
 
 
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,20 +114,25 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", counts_only=True, keep=("source", "lang")))
 
 
+def _mixed(spark: SparkSession, sf_dir: str, policy: str) -> tuple[DataFrame, DataFrame, dict]:
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    plans = planned(sized, targets, policy=policy, domains=DOMAINS)
+    return mix(sized, plans), targets, plans
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus of each plan at the greatest size that leaves no source short: documents with how often each is used."""
-    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), policy="exact")
+    return _mixed(spark, sf_dir, "exact")[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that p7_mix reaches."""
-    return shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return shares(*_mixed(spark, sf_dir, "exact"))
 
 
 def p7_epoch_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares reached at the size of one epoch of the plan's documents, where small sources fall short."""
-    targets = table(spark, sf_dir, "mix_targets")
-    return shares(mix(_sized(spark, sf_dir), targets), targets)
+    return shares(*_mixed(spark, sf_dir, "one_epoch"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
