@@ -12,13 +12,19 @@ from spectraloom.session import table
 
 
 def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every collision energy of both tables in eV."""
+    """Every collision energy of both tables in eV: the tables are laid one under the other first, so there is one plan for both."""
     units, contributors = table(spark, sf_dir, "energy_units"), table(spark, sf_dir, "contributors")
-    pilot = to_common_unit(table(spark, sf_dir, "experimental_ms2_pilot"), units, contributors, key="row_id", field="collision_energy_qc_only",
-                           title="record_title", date="acquired_on", charge="charge", adduct="adduct_qc_only")
-    raw = to_common_unit(table(spark, sf_dir, "massspecgym_raw"), units, contributors, key="raw_id", field="collision_energy", adduct="adduct")
-    label = lambda df, tab, key: df.withColumnRenamed(key, "row_id").select(F.lit(tab).alias("tab"), "row_id", "value", "n_values", "unit_id", "stated_in", "value_ev")
-    return label(pilot, "experimental_ms2_pilot", "row_id").unionByName(label(raw, "massspecgym_raw", "raw_id"))
+    pilot = table(spark, sf_dir, "experimental_ms2_pilot").select(
+        F.struct(F.lit("experimental_ms2_pilot").alias("tab"), F.col("row_id")).alias("record"), F.col("collision_energy_qc_only").alias("energy"),
+        F.col("record_title").alias("title"), F.col("acquired_on").alias("date"), "charge", F.col("adduct_qc_only").alias("adduct"), "contributor_id", "precursor_mz",
+    )
+    raw = table(spark, sf_dir, "massspecgym_raw").select(
+        F.struct(F.lit("massspecgym_raw").alias("tab"), F.col("raw_id").alias("row_id")).alias("record"), F.col("collision_energy").alias("energy"),
+        "adduct", "contributor_id", "precursor_mz",
+    )
+    both = pilot.unionByName(raw, allowMissingColumns=True)
+    out = to_common_unit(both, units, contributors, key="record", field="energy", title="title", date="date", charge="charge", adduct="adduct")
+    return out.select("record.tab", "record.row_id", "value", "n_values", "unit_id", "stated_in", "value_ev")
 
 
 def p1_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
