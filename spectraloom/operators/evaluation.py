@@ -64,11 +64,20 @@ def negative_controls(evaluated: DataFrame, key: str) -> DataFrame:
     """Every structure of a control class, and whether it was given a class it must not have; a class without structures has one row of its own."""
     spark = evaluated.sparkSession
     controls = spark.createDataFrame(list(rules.CONTROL_CLASSES.items()), "control_class string, forbidden array<string>")
-    j = F.broadcast(controls).join(evaluated.select(F.col(key).alias("k"), "expected_class", "parse_status", "lipid_class"), F.col("control_class") == F.col("expected_class"), "left")
+    rows = evaluated.select(F.col(key).alias("k"), "expected_class", "parse_status", "lipid_class")
+    tested = rows.join(F.broadcast(controls), F.col("control_class") == F.col("expected_class"))  # a fixed list of five
+    # classes without a structure are found from the few distinct classes, so the structures aren't shuffled for them
+    none = controls.join(rows.select("expected_class").distinct(), F.col("control_class") == F.col("expected_class"), "left_anti")
+    j = tested.unionByName(none, allowMissingColumns=True)
     violation = F.coalesce(F.array_contains("forbidden", F.col("lipid_class")), F.lit(False))
     return j.select("control_class", F.col("k").alias(key), F.when(F.col("k").isNull(), "no_sample").otherwise("tested").alias("sample_status"), "parse_status", F.col("lipid_class").alias("derived_class"), violation.alias("violation"))
 
 
+def control_summary(controls: DataFrame) -> DataFrame:
+    """(control_class, sample_status, n_tested, n_violations) of the rows of ``negative_controls``."""
+    return controls.groupBy("control_class").agg(F.max("sample_status").alias("sample_status"), F.count_if(F.col("sample_status") == "tested").alias("n_tested"), F.count_if("violation").alias("n_violations"))
+
+
 def linkage_validation(evaluated: DataFrame) -> DataFrame:
     """Numbers of ether linkages expected and found, for structures where a name says something or an ether is involved."""
     n = lambda a, kind: F.size(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: x == kind))

@@ -4,9 +4,9 @@ import os
 
 import pytest
 
-from spectraloom.plans import dirty_fields, spectral, structures
+from spectraloom.plans import dirty_fields, reports, spectral, structures
 
-MODULES = (dirty_fields, spectral, structures)
+MODULES = (dirty_fields, spectral, structures, reports)
 ALL = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
 
