@@ -37,10 +37,10 @@ def peak_features(peaks: Column, precursor: Column, *, most: int = 200, scale: f
     """array<struct<mz, intensity, delta>> of the ``most`` strongest peaks by m/z; null where no peak is usable.
 
     Intensity is the root of the share of the strongest peak (taken as it is where ``normalised``). Peaks
-    with a negative m/z or intensity are dropped, an m/z of 0 isn't. Equal intensities keep their order.
+    with a negative intensity are dropped; any finite m/z is kept. Equal intensities keep their order.
     A list without a positive intensity, and a null precursor, give null.
     """
-    kept = _pairs(peaks, lambda s: (s["mz"] >= 0) & (s["intensity"] >= 0))
+    kept = _pairs(peaks, lambda s: s["intensity"] >= 0)
     done = normalised if isinstance(normalised, Column) else F.lit(normalised)
 
     def scaled(k: Column, top: Column) -> Column:

@@ -14,10 +14,12 @@ def first_seen(df: DataFrame, keys: Sequence[str], order: str = "_ord") -> DataF
     """The first row of each key in the order of arrival; null is a key like any other.
 
     A ``min_by`` aggregate, combined on the map side: a key that holds a third of all rows is
-    folded where its rows lie, with no window over it. Ties in ``order`` are broken by the row itself.
+    folded where its rows lie, with no window over it. Ties in ``order`` are broken by a hash of the row's
+    other columns; rows that tie in it too are equal.
     """
     whole = F.struct(*[c for c in df.columns if c not in keys])
-    kept = df.groupBy(*keys).agg(F.min_by(whole, order).alias("__row"))
+    tie = F.xxhash64(F.to_json(whole))
+    kept = df.groupBy(*keys).agg(F.min_by(whole, F.struct(F.col(order), tie.alias("tie"))).alias("__row"))
     return kept.select(*keys, "__row.*").select(*df.columns)
 
 
@@ -37,12 +39,14 @@ def duplicate_groups(df: DataFrame, example_ids: int = 10) -> DataFrame:
     energy = F.struct(F.col("energy.raw"), F.col("energy.value"), F.col("energy.unit"), F.col("energy.status"))
     missing = (F.col("energy.status") == "missing") | (truthy(F.col("instrument")).isNull() & truthy(F.col("instrument_type")).isNull())
     unknown = lambda c: F.coalesce(truthy(F.col(c)), F.lit("unknown"))
+    # only whether there is more than one value counts: least and greatest hash, so no row is expanded for a distinct count
+    several = lambda c: F.min(F.xxhash64(c)) != F.max(F.xxhash64(c))
     by = df.groupBy("peak_identity_hash").agg(
         F.count(F.lit(1)).alias("duplicate_group_size"),
-        F.count_distinct("acquisition_record_hash").alias("n_records"),
-        F.count_distinct(energy).alias("n_energies"),
-        F.count_distinct(F.struct("instrument", "instrument_type")).alias("n_instruments"),
-        F.count_distinct(shown(F.col("source"))).alias("n_sources"),
+        several(F.col("acquisition_record_hash")).alias("many_records"),
+        several(energy).alias("many_energies"),
+        several(F.struct("instrument", "instrument_type")).alias("many_instruments"),
+        several(shown(F.col("source"))).alias("many_sources"),
         F.bool_or(missing).alias("some_missing"),
         sorted_distinct(unknown("source")).alias("sources"),
         sorted_distinct(unknown("structure_id")).alias("structure_ids"),
@@ -53,10 +57,10 @@ def duplicate_groups(df: DataFrame, example_ids: int = 10) -> DataFrame:
     )
     relation = (
         F.when(F.col("duplicate_group_size") == 1, "unique")
-        .when(F.col("n_records") == 1, "removable_exact_duplicate")
-        .when(F.col("n_energies") > 1, "same_peaks_different_collision_energy")
-        .when(F.col("n_instruments") > 1, "same_peaks_different_instrument")
-        .when(F.col("n_sources") > 1, "cross_source_peak_duplicate")
+        .when(~F.col("many_records"), "removable_exact_duplicate")
+        .when(F.col("many_energies"), "same_peaks_different_collision_energy")
+        .when(F.col("many_instruments"), "same_peaks_different_instrument")
+        .when(F.col("many_sources"), "cross_source_peak_duplicate")
         .when(F.col("some_missing"), "missing_acquisition_metadata")
         .otherwise("same_source_acquisition_duplicate_candidate")
     )

@@ -44,16 +44,25 @@ def stratum_targets(groups: DataFrame, validation: float = 0.1, test: float = 0.
 
 
 def assign(groups: DataFrame, targets: DataFrame, group: str, seed: int = 20260626) -> DataFrame:
-    """(group, stratum, split): within a stratum, in the order of a seeded hash, first validation, then test, the rest train."""
-    order = Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256), group)
-    numbered = groups.withColumn("at", F.row_number().over(order)).join(targets, "stratum")
+    """(group, stratum, split): within a stratum, in the order of a seeded hash, first validation, then test, the rest train.
+
+    A group's number is its rank inside its hash slice (the hash's first three hex digits) plus the groups in the
+    slices before it, which are counted: a task ranks a 4096th of a stratum, and orders 4096 counts for each.
+    """
+    hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256)
+    rows = groups.withColumn("hash", hashed).withColumn("slice", F.substring("hash", 1, 3))
+    counts = rows.groupBy("stratum", "slice").agg(F.count(F.lit(1)).alias("n_in"))
+    before = counts.withColumn("before", F.sum("n_in").over(Window.partitionBy("stratum").orderBy("slice")) - F.col("n_in")).drop("n_in")
+    rank = F.row_number().over(Window.partitionBy("stratum", "slice").orderBy("hash", group))
+    numbered = rows.withColumn("rank", rank).join(before, ["stratum", "slice"]).withColumn("at", F.col("rank") + F.col("before")).join(targets, "stratum")
     split = F.when(F.col("at") <= F.col("validation"), "validation").when(F.col("at") <= F.col("validation") + F.col("test"), "test").otherwise("train")
     return numbered.select(group, "stratum", split.alias("split"))
 
 
 def split_counts(rows: DataFrame, assigned: DataFrame, group: str, value: str) -> DataFrame:
-    """(value, split, n_groups, n_rows) of rows with their group's split; empty cells are left out."""
-    return rows.join(assigned.select(group, "split"), group).groupBy(F.coalesce(F.col(value).cast("string"), F.lit("None")).alias("value"), "split").agg(F.count_distinct(group).alias("n_groups"), F.count(F.lit(1)).alias("n_rows"))
+    """(value, split, n_groups, n_rows) of rows with their group's split; rows of a group without one count as split "unassigned"; empty cells are left out."""
+    placed = rows.join(assigned.select(group, "split"), group, "left").withColumn("split", F.coalesce("split", F.lit("unassigned")))
+    return placed.groupBy(F.coalesce(F.col(value).cast("string"), F.lit("None")).alias("value"), "split").agg(F.count_distinct(group).alias("n_groups"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def leakage(rows: DataFrame, assigned: DataFrame, group: str, item: str) -> DataFrame:

@@ -13,7 +13,7 @@ def tiered_match(items: DataFrame, references: DataFrame, key: str, ref_key: str
 
     ``tiers`` has (name, array of the item's keys in order, the reference's key). Each tier is an equi-join
     on its exploded keys; the union of the hits is reduced with one ``min`` per item over (tier, position),
-    so a later tier never hides an earlier one and nothing is looked up twice. Null keys hit nothing; items
+    so a later tier never hides an earlier one and nothing is looked up or read twice. Null keys hit nothing; items
     without a hit are left out (``unmatched`` has them). References come out in their own order, once each.
     """
     hits = None
@@ -22,9 +22,9 @@ def tiered_match(items: DataFrame, references: DataFrame, key: str, ref_key: str
         right = references.select(F.col(ref_key).alias("ref"), reference_key.alias("k")).where("k is not null")
         tier = left.join(right, "k").select("item", F.lit(at).alias("rank"), F.lit(name).alias("tier"), "position", "k", "ref")
         hits = tier if hits is None else hits.unionByName(tier)
-    best = hits.groupBy("item").agg(F.min(F.struct("rank", "position", "k")).alias("b"))
-    kept = hits.join(best, "item").where((F.col("rank") == F.col("b.rank")) & (F.col("position") == F.col("b.position")) & (F.col("k") == F.col("b.k")))
-    return kept.groupBy("item", "tier", "position", "k").agg(F.array_sort(F.collect_set("ref")).alias("ref_ids")).select(F.col("item").alias(key), "tier", F.col("position").alias("key_position"), F.col("k").alias("matched_key"), "ref_ids")
+    each = hits.groupBy("item", "rank", "tier", "position", "k").agg(F.array_sort(F.collect_set("ref")).alias("ref_ids"))
+    best = each.groupBy("item").agg(F.min_by(F.struct("tier", "position", "k", "ref_ids"), F.struct("rank", "position", "k")).alias("b"))
+    return best.select(F.col("item").alias(key), "b.tier", F.col("b.position").alias("key_position"), F.col("b.k").alias("matched_key"), "b.ref_ids")
 
 
 def tier_hits(items: DataFrame, references: DataFrame, key: str, tiers: Sequence[tuple[str, Column, Column]]) -> DataFrame:

@@ -344,10 +344,11 @@ def anatomy(smiles: str | None) -> dict:
     times = Counter(a for part in parts for a in part if a in heavy)
     twice = {a for a, n in times.items() if n > 1}
     left = heavy - times.keys()
-    # rebuilt bond by bond: inside a part, or cut between two parts; a bond of an unassigned atom is a cut bond too
+    # rebuilt from the parts' own bonds and the attachments that a phospholipid has; any other bond between parts, or to an unassigned atom, is missing
     bonds = {frozenset((a, b)) for a in heavy for b in mol.bonds[a] if b in heavy}
     inside = {b for b in bonds if any(b <= part for part in parts)}
-    rebuilt = inside | {b for b in bonds - inside}
+    joints = {frozenset((bone.bridge, x)) for x in bone.carbons} | {frozenset((a.oxygen, x)) for a in (*chains, *bone.of("free")) for x in bone.carbons}
+    rebuilt = inside | (joints & bonds)
     extra = bool(twice or left)
     return end(
         "unsupported_extra_substitution" if extra else "success", *(("atom_partition_incomplete", "unsupported_extra_substitution") if extra else ()),

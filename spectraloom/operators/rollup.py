@@ -40,11 +40,20 @@ def histograms(df: DataFrame, columns: Sequence[str], order: str = "_ord", missi
     """(field, value, n, rank) of several columns in one pass; rank by count, then by first appearance.
 
     Null and empty values count as ``missing``. Columns are unpivoted inside the row and combined on the
-    map side, so the shuffle carries one row per value and task. Ranks are set per field over distinct values.
+    map side, so the shuffle carries one row per value and task. Ranks are set over the distinct values of each field:
+    a value's rank is its place among those of its magnitude (count's power of two) plus the number of values in higher ones.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(truthy(F.col(c).cast("string")), F.lit(missing)).alias("value")) for c in columns])
     counts = df.select(F.explode(pairs).alias("p"), F.col(order).alias("at")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    return counts.select("field", "value", "n", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "at")).cast("bigint").alias("rank"))
+    # the values of a magnitude are cut once more by first appearance where they are most: those that stand once
+    size = F.floor(F.log2("n")).cast("int")
+    part = F.floor(F.col("at") / F.lit(1_000_000)).cast("bigint")
+    counts = counts.withColumn("size", size).withColumn("part", F.when(F.col("n") == 1, part).otherwise(F.lit(0)))
+    sizes = counts.groupBy("field", "size", "part").agg(F.count(F.lit(1)).alias("k"))
+    above = sizes.withColumn("above", F.sum("k").over(Window.partitionBy("field").orderBy(F.desc("size"), "part")) - F.col("k")).drop("k")
+    local = F.row_number().over(Window.partitionBy("field", "size", "part").orderBy(F.desc("n"), "at"))
+    ranked = counts.withColumn("local", local).join(above, ["field", "size", "part"])
+    return ranked.select("field", "value", "n", (F.col("local") + F.col("above")).cast("bigint").alias("rank"))
 
 
 def distinct_first(df: DataFrame, *columns: str) -> DataFrame:

@@ -256,7 +256,9 @@ def duplicate_groups(spark, sf_dir):
     return groups.select("peak_identity_hash", "duplicate_group_size", "duplicate_relation", *[_joined(F.col(c)).alias(c) for c in ("sources", "energy_values", "instrument_values")])
 
 
-@query()
+@query(f"""WITH {_SPECTRA}, x AS (SELECT *, row_number() OVER (PARTITION BY peak_hash ORDER BY ord, spectrum_id) AS i FROM s4)
+SELECT peak_hash AS peak_identity_hash, count(*) AS duplicate_group_size, array_to_string(list_sort(list(DISTINCT coalesce(nullif(connectivity_id, ''), 'unknown'))), '|') AS connectivity_ids,
+ coalesce(string_agg(spectrum_id, '|' ORDER BY i) FILTER (i <= 10), '') AS example_spectrum_ids FROM x GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_group_ids(spark, sf_dir):
     """Of each group the first ten spectrum ids in the order of arrival, and its connectivity ids."""
     groups = duplicates.duplicate_groups(_spectra(spark, sf_dir)).where("duplicate_group_size > 1")
@@ -421,10 +423,10 @@ def linkage_buckets(spark, sf_dir):
     return table(spark, sf_dir, "gold_spectra").select("gold_id", n.linkage_bucket(F.col("linkage_pattern")).alias("bucket"))
 
 
-@query(f"SELECT g.gold_id, g.row_id, g.structure_record_id, p.precursor_mz, coalesce(g.polarity, p.polarity) AS polarity FROM gold_spectra g JOIN {PILOT} p ON g.row_id = p.row_id")
+@query(f"SELECT g.gold_id, g.row_id, g.structure_record_id, p.precursor_mz, coalesce(g.polarity, p.polarity) AS polarity FROM gold_spectra g LEFT JOIN {PILOT} p ON g.row_id = p.row_id")
 def gold_with_pilot(spark, sf_dir):
     gold, pilot = table(spark, sf_dir, "gold_spectra").alias("g"), _pilot(spark, sf_dir).alias("p")
-    return gold.join(pilot, F.col("g.row_id") == F.col("p.row_id")).select("gold_id", "g.row_id", "g.structure_record_id", "p.precursor_mz", F.coalesce("g.polarity", "p.polarity").alias("polarity"))
+    return gold.join(pilot, F.col("g.row_id") == F.col("p.row_id"), "left").select("gold_id", "g.row_id", "g.structure_record_id", "p.precursor_mz", F.coalesce("g.polarity", "p.polarity").alias("polarity"))
 
 
 @query("SELECT structure_record_id, array_to_string(list_sort(list(DISTINCT gold_lipid_class)), '|') AS values, count(*) AS n_rows FROM gold_spectra GROUP BY 1 HAVING count(DISTINCT gold_lipid_class) > 1")
@@ -490,7 +492,7 @@ def group_split_assignment(spark, sf_dir):
     return _assigned(spark, sf_dir)
 
 
-@query(f"WITH {_ASSIGN} SELECT coalesce(gold_lipid_class, 'None') AS value, split, count(DISTINCT g) AS n_groups, count(*) AS n_rows FROM gold_spectra JOIN sp ON g = structure_record_id GROUP BY 1, 2")
+@query(f"WITH {_ASSIGN} SELECT coalesce(gold_lipid_class, 'None') AS value, coalesce(split, 'unassigned') AS split, count(DISTINCT structure_record_id) AS n_groups, count(*) AS n_rows FROM gold_spectra LEFT JOIN sp ON g = structure_record_id GROUP BY 1, 2")
 def group_split_counts(spark, sf_dir):
     return group_split.split_counts(table(spark, sf_dir, "gold_spectra"), _assigned(spark, sf_dir), "structure_record_id", "gold_lipid_class")
 
@@ -503,37 +505,22 @@ def group_split_leakage(spark, sf_dir):
 
 # --- features, labels, model outputs ---------------------------------------------------------------------
 
-_FEATURES = """fx AS (SELECT row_id, precursor_mz, list_filter(coalesce(peaks_raw, []), lambda p: p[1] IS NOT NULL AND p[2] IS NOT NULL AND isfinite(p[1]) AND isfinite(p[2]) AND p[1] >= 0 AND p[2] >= 0) AS k FROM experimental_ms2_pilot),
+#: The reference's max_peaks.
+_MOST = 200
+_FEATURES = """fx AS (SELECT row_id, precursor_mz, list_filter(coalesce(peaks_raw, []), lambda p: p[1] IS NOT NULL AND p[2] IS NOT NULL AND isfinite(p[1]) AND isfinite(p[2]) AND p[2] >= 0) AS k FROM experimental_ms2_pilot),
 fe AS (SELECT row_id, precursor_mz, list_max(list_transform(k, lambda p: p[2])) AS top, unnest(list_transform(k, lambda p, i: {'mz': p[1], 'v': p[2], 'i': i})) AS q FROM fx WHERE precursor_mz IS NOT NULL),
 fr AS (SELECT row_id, precursor_mz, q.mz AS mz, sqrt(q.v / top) AS v, q.i AS i, row_number() OVER (PARTITION BY row_id ORDER BY sqrt(q.v / top) DESC, q.i) AS rk FROM fe WHERE top > 0),
-fs AS (SELECT row_id, mz / 1000.0::DOUBLE AS mz, v, (precursor_mz - mz) / 1000.0::DOUBLE AS delta, row_number() OVER (PARTITION BY row_id ORDER BY mz, v, i) - 1 AS slot FROM fr WHERE rk <= 20)"""
+fs AS (SELECT row_id, mz / 1000.0::DOUBLE AS mz, v, (precursor_mz - mz) / 1000.0::DOUBLE AS delta, row_number() OVER (PARTITION BY row_id ORDER BY mz, v, i) - 1 AS slot FROM fr WHERE rk <= 200)"""
 
 
 @query(f"WITH {_FEATURES} SELECT row_id, CAST(slot AS INTEGER) AS slot, round(mz, 9) AS mz, round(v, 6) AS intensity, round(delta, 9) + 0.0::DOUBLE AS delta FROM fs")
 def peak_features(spark, sf_dir):
-    rows = _pilot(spark, sf_dir).select("row_id", p.peak_features(F.col("peaks_raw"), F.col("precursor_mz"), most=20).alias("f"))
-    return rows.select("row_id", F.posexplode("f").alias("slot", "x")).select("row_id", "slot", F.round("x.mz", 9).alias("mz"), F.round("x.intensity", 6).alias("intensity"), (F.round("x.delta", 9) + F.lit(0.0)).alias("delta"))
-
-
-@query(f"WITH {_FEATURES}, c AS (SELECT row_id, count(*) AS c FROM fs GROUP BY 1) SELECT row_id, CAST(i AS INTEGER) AS slot, i >= coalesce(c, 0) AS masked FROM experimental_ms2_pilot LEFT JOIN c USING (row_id), (SELECT unnest(range(0, 20)) AS i)")
-def padded_masks(spark, sf_dir):
-    rows = _pilot(spark, sf_dir).select("row_id", p.pad(p.peak_features(F.col("peaks_raw"), F.col("precursor_mz"), most=20), 20).alias("f"))
-    return rows.select("row_id", F.posexplode("f.mask").alias("slot", "masked"))
-
-
-# the reference's max_peaks; the two queries above are held to 20 by their SQL
-_MOST = 200
-_FEATURES_200 = _FEATURES.replace("rk <= 20", f"rk <= {_MOST}")
-
-
-@query(f"WITH {_FEATURES_200} SELECT row_id, CAST(slot AS INTEGER) AS slot, round(mz, 9) AS mz, round(v, 6) AS intensity, round(delta, 9) + 0.0::DOUBLE AS delta FROM fs")
-def peak_features_200(spark, sf_dir):
     rows = _pilot(spark, sf_dir).select("row_id", p.peak_features(F.col("peaks_raw"), F.col("precursor_mz"), most=_MOST).alias("f"))
     return rows.select("row_id", F.posexplode("f").alias("slot", "x")).select("row_id", "slot", F.round("x.mz", 9).alias("mz"), F.round("x.intensity", 6).alias("intensity"), (F.round("x.delta", 9) + F.lit(0.0)).alias("delta"))
 
 
-@query(f"WITH {_FEATURES_200}, c AS (SELECT row_id, count(*) AS c FROM fs GROUP BY 1) SELECT row_id, CAST(i AS INTEGER) AS slot, i >= coalesce(c, 0) AS masked FROM experimental_ms2_pilot LEFT JOIN c USING (row_id), (SELECT unnest(range(0, {_MOST})) AS i)")
-def padded_masks_200(spark, sf_dir):
+@query(f"WITH {_FEATURES}, c AS (SELECT row_id, count(*) AS c FROM fs GROUP BY 1) SELECT row_id, CAST(i AS INTEGER) AS slot, i >= coalesce(c, 0) AS masked FROM experimental_ms2_pilot LEFT JOIN c USING (row_id), (SELECT unnest(range(0, 200)) AS i)")
+def padded_masks(spark, sf_dir):
     rows = _pilot(spark, sf_dir).select("row_id", p.pad(p.peak_features(F.col("peaks_raw"), F.col("precursor_mz"), most=_MOST), _MOST).alias("f"))
     return rows.select("row_id", F.posexplode("f.mask").alias("slot", "masked"))
 
@@ -560,34 +547,32 @@ def display_names(spark, sf_dir):
     return _pilot(spark, sf_dir).where("prototype_headgroup is not null").select("row_id", shown.alias("shown"))
 
 
-_SOFT = "sx AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), sm AS (SELECT vec_id, label, z, list_max(z) AS m FROM sx), sp AS (SELECT *, list_sum(list_transform(z, lambda x: exp(x - m))) AS t FROM sm)"
+_SOFT = "sx AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), sm AS (SELECT vec_id, label, z, list_max(z) AS m FROM sx), sp AS (SELECT *, list_sum(list_transform(z, lambda x: exp(x - m))) AS t FROM sm)"
 
 
 @query(f"WITH {_SOFT} SELECT vec_id, CAST(list_position(z, m) - 1 AS INTEGER) AS best, round(1 / t, 6) AS probability, 1 / t < 0.5 AS low_confidence FROM sp")
 def softmax_argmax(spark, sf_dir):
-    logits = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", p.softmax(logits).alias("q"), p.argmax(logits).alias("best"))
     return rows.select("vec_id", "best", F.round(F.array_max("q"), 6).alias("probability"), (F.array_max("q") < 0.5).alias("low_confidence"))
 
 
-@query(f"WITH {_SOFT} SELECT label, round(coalesce(avg(CASE WHEN vec_id % 2 = 0 THEN ln(t) + m - z[label % 6 + 1] END), 0), 6) AS loss, count(*) AS n_rows FROM sp GROUP BY 1")
+@query(f"WITH {_SOFT}, {_LABELS} SELECT label, round(coalesce(avg(CASE WHEN len(c) > 1 THEN ln(t) + m - z[label % 64 + 1] END), 0), 6) AS loss, count(CASE WHEN len(c) > 1 THEN 1 END) AS n_unmasked, count(*) AS n_rows FROM sp LEFT JOIN l1 ON row_id = vec_id GROUP BY 1")
 def masked_cross_entropy(spark, sf_dir):
-    logits = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
-    loss = p.cross_entropy(logits, F.col("label") % 6)
-    return table(spark, sf_dir, "embeddings").select("label", loss.alias("l"), (F.col("vec_id") % 2 == 0).alias("m")).groupBy("label").agg(F.round(p.masked_mean(F.col("l"), F.col("m")), 6).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
-
-
-@query(f"WITH {_SOFT}, {_LABELS} SELECT label, round(coalesce(avg(CASE WHEN len(c) > 1 THEN ln(t) + m - z[label % 6 + 1] END), 0), 6) AS loss, count(CASE WHEN len(c) > 1 THEN 1 END) AS n_unmasked, count(*) AS n_rows FROM sp LEFT JOIN l1 ON row_id = vec_id GROUP BY 1")
-def masked_cross_entropy_chains(spark, sf_dir):
-    logits = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     encoded = p.record_labels(F.col("prototype_headgroup"), F.col("lipid_class"), F.col("chains"), F.col("chain_linkage_summary"))
     masks = _pilot(spark, sf_dir).select(F.col("row_id").alias("vec_id"), encoded["chain_mask"][1].alias("m"))
-    rows = table(spark, sf_dir, "embeddings").join(masks, "vec_id", "left").select("label", p.cross_entropy(logits, F.col("label") % 6).alias("l"), F.coalesce("m", F.lit(False)).alias("m"))
+    rows = table(spark, sf_dir, "embeddings").join(masks, "vec_id", "left").select("label", p.cross_entropy(logits, F.col("label") % 64).alias("l"), F.coalesce("m", F.lit(False)).alias("m"))
     return rows.groupBy("label").agg(F.round(p.masked_mean(F.col("l"), F.col("m")), 6).alias("loss"), F.count_if("m").alias("n_unmasked"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(f"""SELECT k.vec_id, CAST(2 + abs(k.label) % 39 AS INTEGER) AS carbon FROM embeddings k""")
+@query("""WITH x AS (SELECT vec_id, abs(label) AS a, vec_id AS v FROM embeddings),
+c AS (SELECT vec_id, list_sort([{'c': 2 + a % 39, 'd': a % 13, 'r': a % 3}, {'c': 2 + v % 39, 'd': v % 13, 'r': v % 3}][1:CAST(1 + v % 2 AS INT)]) AS ch FROM x)
+SELECT vec_id, array_to_string(list_transform(ch, lambda s: CAST(s.c AS VARCHAR) || ':' || CAST(s.d AS VARCHAR) || ' ' || ['ester', 'ether', 'vinyl_ether'][s.r + 1]), '_') AS chains FROM c""")
 def label_decoding(spark, sf_dir):
-    index = F.array((F.abs("label") % 39).cast("int"))
-    chains = p.decoded_chains(index, F.array(F.lit(0)), F.array(F.lit(0)), F.lit(1))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.get(chains, F.lit(0))["carbon"].cast("int").alias("carbon"))
+    """One or two chains from class indices, sorted; indices from the labels and ids of the table."""
+    pair = lambda of: F.array(*[(of(F.col(c))).cast("int") for c in ("a", "vec_id")])
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.abs("label").alias("a"))
+    chains = p.decoded_chains(pair(lambda x: x % 39), pair(lambda x: x % 13), pair(lambda x: x % 3), (1 + F.col("vec_id") % 2).cast("int"))
+    shown = F.transform(chains, lambda x: F.concat(x["carbon"].cast("string"), F.lit(":"), x["double_bonds"].cast("string"), F.lit(" "), x["linkage"]))
+    return rows.select("vec_id", F.array_join(shown, "_").alias("chains"))

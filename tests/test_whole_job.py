@@ -9,11 +9,11 @@ from spectraloom.plans import spectral, structures
 def test_all_of_200_peaks(spark, tmp_path):
     rows = [(1, 900.0, [[100.0 + i, 1.0 + i] for i in range(60)]), (2, 900.0, [[100.0 + i, 1.0 + i] for i in range(250)]), (3, None, [[100.0, 1.0]])]
     spark.createDataFrame(rows, "row_id bigint, precursor_mz double, peaks_raw array<array<double>>").coalesce(1).write.parquet(f"{tmp_path}/experimental_ms2_pilot.parquet")
-    features = spectral.QUERIES["peak_features_200"](spark, str(tmp_path)).groupBy("row_id").count().collect()
+    features = spectral.QUERIES["peak_features"](spark, str(tmp_path)).groupBy("row_id").count().collect()
     assert sorted(map(tuple, features)) == [(1, 60), (2, 200)]
-    masks = spectral.QUERIES["padded_masks_200"](spark, str(tmp_path)).groupBy("row_id").agg({"*": "count", "slot": "max"}).collect()
+    masks = spectral.QUERIES["padded_masks"](spark, str(tmp_path)).groupBy("row_id").agg({"*": "count", "slot": "max"}).collect()
     assert sorted(tuple(r)[0] for r in masks) == [1, 2, 3] and {r["count(1)"] for r in masks} == {200}
-    free = spectral.QUERIES["padded_masks_200"](spark, str(tmp_path)).where("not masked").groupBy("row_id").count().collect()
+    free = spectral.QUERIES["padded_masks"](spark, str(tmp_path)).where("not masked").groupBy("row_id").count().collect()
     assert sorted(map(tuple, free)) == [(1, 60), (2, 200)]
 
 
