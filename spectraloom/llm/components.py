@@ -26,9 +26,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", *, max_ro
     rows gives no rows. Raises when ``max_rounds`` don't suffice (rounds grow with the logarithm
     of the longest chain, so 60 is out of reach).
     """
-    pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
+    given = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
+    # what makes the edges is run once, though loops and links are read apart
+    pairs = cut(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     loops = pairs.where("u = v").select("u").distinct()
-    links = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = pairs.where("u <> v")
     alone = loops.join(links.select(F.explode(F.array("u", "v")).alias("u")).distinct(), "u", "left_anti")
     state = _state(links)
     for _ in range(max_rounds):

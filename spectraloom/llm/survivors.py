@@ -137,10 +137,11 @@ def measurement_groups(df: DataFrame, key: str = "row_id", peaks: str = "peaks_r
     prints = rows.where("print is not null").select("k", "print")
     heads = prints.groupBy("print").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     alike = prints.join(heads, "print").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
-    equal = lambda x, y: rounded(x) == rounded(y)
+    # not written as an equality of both sides: that would be a join key, computed for all rows and sorted by
+    equal = lambda x, y: F.coalesce(F.forall(F.zip_with(rounded(x), rounded(y), lambda a, b: a == b), lambda t: t), F.lit(False))
     members = cut(_compared(alike, spectra, equal))
     reps = spectra.join(members.select(F.col("b").alias("k")), "k", "left_anti")
-    links = _compared(_pairs_in_cells(_cell_keys(reps), heavy), spectra, same_spectrum)
+    links = _compared(_pairs_in_cells(cut(_cell_keys(reps)), heavy), spectra, same_spectrum)
     edges = members.unionByName(links).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_by_serial(rows.drop("p")))
     components = connected_components(edges)
     return rows.select("k").join(components.withColumnRenamed("node", "k"), "k", "left").select(F.col("k").alias(key), F.coalesce("component", "k").alias("group"))
