@@ -16,8 +16,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,9 @@ WARM, ROUNDS, SLICES = 30, 10, 20
 RATE = 0.03
 #: A label is a sentence's only above this probability, and above so many times the label's share of all sentences.
 BAR, LIFT = 0.25, 1.5
-#: Text that a block holds, in characters (a longer document is a block of its own), and partitions in
-#: which the gradients of a slice are added up before the driver adds those.
-BLOCK_CHARS, FAN = 2_000_000, 8
+#: Words (or documents) after which a block is closed, whole documents always; and partitions in which the
+#: gradients of a slice are added up before the driver adds those.
+BLOCK_WORDS, FAN = 200_000, 8
 SHARE, SURE = 0.2, 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -107,8 +110,9 @@ def sentences(text: str | None) -> list[str]:
     return [s for s, _ in sentence_words(text)]
 
 
+@lru_cache(200_000)
 def units(word: str) -> list[int]:
-    """Hashed units of a lower-case word: itself and its character 5-grams with word ends."""
+    """Hashed units of a lower-case word: itself and its character 5-grams with word ends. A forgotten word is hashed again."""
     marked = f"<{word}>"
     grams = {marked[i : i + 5] for i in range(len(marked) - 4)} if len(word) > 3 else set()
     hashed = [zlib.crc32(f"g {g}".encode()) % UNITS for g in sorted(grams)]
@@ -145,6 +149,15 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, _starts(sizes), axis=0) if len(sizes) else values[:0]
 
 
+def _sums_of(values: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``values[ids]``, column by column: contiguous and without the table of all runs' rows."""
+    starts, out = _starts(sizes), np.empty((values.shape[1], len(sizes)), dtype=values.dtype)
+    if len(sizes):
+        for k, column in enumerate(np.ascontiguousarray(values.T)):
+            out[k] = np.add.reduceat(column.take(ids), starts)
+    return out.T
+
+
 # --- blocks ------------------------------------------------------------------------------------------
 
 BLOCK_SCHEMA = (
@@ -171,8 +184,8 @@ class Block:
 
     def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """Averaged embedding and probabilities of each sentence."""
-        words = _sums(model.embed[self.unit_ids], self.unit_counts)
-        hidden = _sums(words[self.word_ids], self.words) / self.n_units[:, None]
+        words = _sums_of(model.embed, self.unit_ids, self.unit_counts)
+        hidden = _sums_of(words, self.word_ids, self.words) / self.n_units[:, None]
         return hidden, _sigmoid(hidden @ model.out + model.bias)
 
     def mean_by_doc(self, p: np.ndarray) -> np.ndarray:
@@ -196,31 +209,36 @@ class Block:
         sentence_of = np.repeat(np.arange(len(self.words), dtype=np.int32), self.words)
         narrow = self.word_ids.astype(np.uint16) if len(self.unit_counts) < 1 << 16 else self.word_ids
         order = np.argsort(narrow, kind="stable")
-        by_word = _sums(back[sentence_of[order]], np.bincount(self.word_ids, minlength=len(self.unit_counts)))
+        by_word = _sums_of(back, sentence_of[order], np.bincount(self.word_ids, minlength=len(self.unit_counts)))
         word_of = np.repeat(np.arange(len(self.unit_counts), dtype=np.int32), self.unit_counts)
         order = np.argsort(self.unit_ids.astype(np.uint16), kind="stable")
         hit, sizes = np.unique(self.unit_ids, return_counts=True)
-        return hit, _sums(by_word[word_of[order]], sizes), top, int(used.sum())
-
-
-def _pack(docs: list[tuple], labelled: bool, part: int) -> dict:
-    """One block of (doc_id, sentences' words, label numbers) rows."""
-    known: dict[str, int] = {}
-    word_ids: list[int] = []
-    words, counts, label_docs, label_ids = [], [], [], []
-    for i, (_, found, given) in enumerate(docs):
-        counts.append(len(found))
-        for ws in found:
-            words.append(len(ws))
-            word_ids += [known.setdefault(w, len(known)) for w in ws]
-        label_docs += [i] * len(given)
-        label_ids += given
-    own = [units(w) for w in known]
-    pack = lambda x: np.array(x, dtype=np.int32).tobytes()
-    return {
-        "labelled": labelled, "slice": part, "docs": [d for d, _, _ in docs], "sentences": pack(counts), "words": pack(words), "word_ids": pack(word_ids),
-        "unit_counts": pack([len(u) for u in own]), "unit_ids": pack([u for us in own for u in us]), "label_docs": pack(label_docs), "label_ids": pack(label_ids),
-    }
+        return hit, _sums_of(by_word, word_of[order], sizes), top, int(used.sum())
+
+
+class _Packer:
+    """One block in the making: words are numbers from the start, so what is held is small."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.docs: list = []
+        self.sentences, self.words, self.word_ids, self.label_docs, self.label_ids = (array("i") for _ in range(5))
+
+    def add(self, doc: int | None, found: list[tuple[str, list[str]]], labels: list[int]) -> None:
+        known = self.known
+        self.sentences.append(len(found))
+        for _, words in found:
+            self.words.append(len(words))
+            self.word_ids.extend([known.setdefault(w, len(known)) for w in words])
+        self.label_docs.extend([len(self.docs)] * len(labels))
+        self.label_ids.extend(labels)
+        self.docs.append(doc)
+
+    def row(self, labelled: bool, part: int) -> dict:
+        own = [units(w) for w in self.known]
+        packed = {n: getattr(self, n).tobytes() for n in ("sentences", "words", "word_ids", "label_docs", "label_ids")}
+        counts, ids = array("i", map(len, own)), array("i", chain.from_iterable(own))
+        return {"labelled": labelled, "slice": part, "docs": self.docs, "unit_counts": counts.tobytes(), "unit_ids": ids.tobytes(), **packed}
 
 
 def parse_documents(documents: DataFrame, labels: DataFrame | None = None, subjects: Sequence[int] = (), *, most_labelled: int = MOST_LABELLED, slices: int = SLICES) -> DataFrame:
@@ -241,25 +259,24 @@ def parse_documents(documents: DataFrame, labels: DataFrame | None = None, subje
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bool, int], list[tuple]] = {}
-        chars = 0
+        held: dict[int, _Packer] = {}
 
-        def flush() -> pa.RecordBatch:
-            out = [_pack(docs, *kind) for kind, docs in sorted(held.items())]
-            held.clear()
-            return pa.RecordBatch.from_pylist(out, schema=_ARROW)
+        def flush(kind: int) -> pa.RecordBatch:
+            packer = held.pop(kind)
+            # a block of labelled documents goes to the slice that its first document's id gives
+            part = kind if kind >= 0 else hash(packer.docs[0]) % slices
+            return pa.RecordBatch.from_pylist([packer.row(kind < 0, part)], schema=_ARROW)
 
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("doc_id", "text", "labels", "slice")]
             for doc, text, own, part in zip(*columns):
-                found = [ws for _, ws in sentence_words(text)]
-                held.setdefault((own is not None, part), []).append((doc, found, [index[s] for s in own or ()]))
-                chars += len(text or "")
-                if chars > BLOCK_CHARS:
-                    yield flush()
-                    chars = 0
-        if held:
-            yield flush()
+                kind = part if own is None else -1
+                packer = held.get(kind) or held.setdefault(kind, _Packer())
+                packer.add(doc, sentence_words(text), [index[s] for s in own or ()])
+                if len(packer.word_ids) > BLOCK_WORDS or len(packer.docs) > BLOCK_WORDS:
+                    yield flush(kind)
+        for kind in sorted(held):
+            yield flush(kind)
 
     return rows.mapInArrow(run, BLOCK_SCHEMA)
 
