@@ -409,7 +409,9 @@ def _searched(values: DataFrame, lists: dict[str, tuple[type[Matcher], list[tupl
         return step
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return map_columns(values.select("field", "typed"), make, schema)
+    # a search costs time, not bytes: a number of parts that is named isn't merged by adaptive execution
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_columns(values.select("field", "typed").repartition(parts, "field", "typed"), make, schema)
 
 
 def distinct_values(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
