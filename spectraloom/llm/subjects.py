@@ -263,8 +263,8 @@ def parse_documents(documents: DataFrame, labels: DataFrame | None = None, subje
 
         def flush(kind: int) -> pa.RecordBatch:
             packer = held.pop(kind)
-            # a block of labelled documents goes to the slice that its first document's id gives
-            part = kind if kind >= 0 else hash(packer.docs[0]) % slices
+            # labelled documents go to the first slice together, so that slices don't depend on the partitions
+            part = max(kind, 0)
             return pa.RecordBatch.from_pylist([packer.row(kind < 0, part)], schema=_ARROW)
 
         for batch in batches:
